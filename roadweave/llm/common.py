@@ -98,3 +98,26 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list]) -> Callable
 def learn_split(id_col: str, mod: int) -> F.Column:
     """crc32 of the id as text, modulo mod."""
     return F.crc32(F.col(id_col).cast("string")) % mod
+
+
+NARROW_BITS = 23
+
+
+def narrow(df: DataFrame, ids: DataFrame, bits: int = NARROW_BITS) -> DataFrame:
+    """Rows of df whose doc_id may be among ids, before any shuffle: a hashed bitmap of 2**bits places (at most 2**(bits - 6) rows of 16 bytes, so its broadcast is bounded at any scale). Keeps every row asked for, and some others; null ids never match."""
+    place = lambda c: F.xxhash64(c).bitwiseAND(2**bits - 1)
+    words = (
+        ids.where("id is not null")
+        .select(place(F.col("id")).alias("p"))
+        .distinct()
+        .groupBy(F.shiftright("p", 6).alias("_word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
+    )
+    names = df.columns
+    return (
+        df.withColumn("_p", place(F.col("doc_id")))
+        .withColumn("_word", F.shiftright("_p", 6))
+        .join(F.broadcast(words), "_word")
+        .where("(shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1) = 1")
+        .select(*names)
+    )
