@@ -8,9 +8,11 @@ within tasks before any shuffle, a cell that holds a third of all rows is no
 hotter than others, and languages' and the corpus's sketches are sums of cells'.
 Sparse cells use their language's sketch, sparse languages the corpus's.
 
-A measure fails beyond its cell's fence: the third quartile, plus FENCE times
-the distance between quartiles, plus a slack that keeps ordinary texts in cells
-where that distance is nothing (mirrored for measures that may be too low).
+A measure fails beyond its cell's fence: the median, plus FENCE times its
+distance from the first quartile, plus a slack that keeps ordinary texts in cells
+where that distance is nothing. Junk pulls measures up, so the lower half stays
+sound while less than half of a cell is junk. (Mirrored where a measure may also
+be too low.)
 """
 
 from __future__ import annotations
@@ -31,11 +33,11 @@ UPPER[ord("A") : ord("Z") + 1] = True
 PUNCT = np.zeros(256, bool)
 PUNCT[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 WINDOW = 5
-FENCE = 6
+FENCE = 8
 LEAST_CELL = 50
 
 #: measure -> (slack above, slack below or None: never too low)
-RULES = {"word_length": (400, 200), "symbol_share": (600, None), "upper_share": (1500, None), "punct_share": (1200, None), "dup_line_share": (4000, None), "repeat_share": (1000, None)}
+RULES = {"word_length": (400, 200), "symbol_share": (600, None), "upper_share": (1500, None), "punct_share": (1200, None), "dup_line_share": (6000, None), "repeat_share": (2000, None)}
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
@@ -61,7 +63,7 @@ def measure(c: K.Chunk) -> dict[str, np.ndarray]:
     out = {"n_words": words, "word_chars": chars, "n_symbols": c.count(SYMBOLS[data])}
     # lines: bounded by line ends and by the text's own ends
     end = np.flatnonzero(data == 10)
-    ls = np.sort(np.concatenate([c.off[:-1], end + 1]))
+    ls = np.unique(np.concatenate([c.off[:-1], end + 1]))
     own = np.searchsorted(c.off, ls, "right") - 1
     real = ls < c.off[np.minimum(own + 1, n)] if len(ls) else np.zeros(0, bool)
     own, ls = own[real], ls[real]
@@ -132,8 +134,8 @@ def thresholds(cells: DataFrame) -> DataFrame:
     def fences(hist: DataFrame, by: list[str]) -> DataFrame:
         w = Window.partitionBy(*by, "rule")
         run = hist.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("total", F.sum("n").over(w))
-        q = run.groupBy(*by, "rule").agg(F.max("total").alias("total"), F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
-        return q.select(*by, "rule", "total", (F.col("q3") + FENCE * (F.col("q3") - F.col("q1"))).alias("high"), (F.col("q1") - FENCE * (F.col("q3") - F.col("q1"))).alias("low"))
+        q = run.groupBy(*by, "rule").agg(F.max("total").alias("total"), F.min(F.when(F.col("upto") * 4 >= F.col("total"), F.col("bucket"))).alias("q1"), F.min(F.when(F.col("upto") * 2 >= F.col("total"), F.col("bucket"))).alias("q2"), F.min(F.when(F.col("upto") * 4 >= F.col("total") * 3, F.col("bucket"))).alias("q3"))
+        return q.select(*by, "rule", "total", (F.col("q2") + FENCE * (F.col("q2") - F.col("q1"))).alias("high"), (F.col("q2") - FENCE * (F.col("q3") - F.col("q2"))).alias("low"))
 
     def named(df: DataFrame, tag: str) -> DataFrame:
         return df.withColumnsRenamed({"total": f"total_{tag}", "high": f"high_{tag}", "low": f"low_{tag}"})
