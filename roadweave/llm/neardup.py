@@ -234,3 +234,10 @@ def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None
         .select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def keep(docs: DataFrame, *, k: int = 5, percent: int = 80, where: str | None = None) -> DataFrame:
+    """The rows of docs, with all their columns, but for those in a group with a smaller id; of rows alike in id and group all stay."""
+    got = groups(docs, k=k, percent=percent, where=where).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    return named.join(got, F.col("_id") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import neardup, quality_rules, sentencepieces, suffix_dedup, token_files
+from . import fingerprints, mixing, neardup, ngram_lm, quality_rules, sentencepieces, site_quality, suffix_dedup, token_files, toxicity
 from .common import documents
 
 
@@ -15,10 +15,27 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), digests_only=True)
 
 
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.train_and_score(documents(spark, sf_dir))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(documents(spark, sf_dir))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(documents(spark, sf_dir), k=3, percent=85)
 
@@ -31,8 +48,13 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, end_id=2)
 
 
+def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op5_quality_rules, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_token_ids)
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_ngram_lm, op3_toxicity, op4_fingerprints, op5_quality_rules, op6_mixing, op7_minhash_near_dedup, op8_suffix_array_dedup, op9_token_ids, op10_site_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's distinct words, lower-cased and without punctuation at their
-ends, hashed to buckets. Besides a weight, each bucket has a short vector, and
+ends, and the words' beginnings (compounds and inflections of a stem share
+them), hashed to buckets. Besides a weight, each bucket has a short vector, and
 the score adds the dot products of all pairs of a text's vectors, so that two
 terms can say together what neither says alone: an insult beside the mention of
 a group. The pairs cost no more than the terms: half of the square of the
@@ -27,6 +28,7 @@ MAX_ROWS = 24_000
 LEAST_ROWS = 6
 FACTORS = 4
 THRESHOLD = 0.7
+PREFIXES = (None, 4, 5)
 _EDGE = np.zeros(256, bool)
 _EDGE[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 
@@ -49,8 +51,11 @@ def terms(column: pa.Array, bits: int = BUCKET_BITS):
             e = e - cut
         some = s < e
         s, e, doc = s[some], e[some], doc[some]
-        h = (low.hash_ranges(s, e) >> K.U64(64 - bits)).astype(np.int64)
-        key = np.unique(doc << bits | h)
+        keys = []
+        for most in (PREFIXES if len(s) else ()):
+            end = e if most is None else np.minimum(e, s + most)
+            keys.append(doc << bits | (low.hash_ranges(s, end) >> K.U64(64 - bits)).astype(np.int64))
+        key = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
         yield key & ((1 << bits) - 1), np.searchsorted(key >> bits, np.arange(c.n + 1))
 
 
