@@ -9,8 +9,10 @@ a group. The pairs cost no more than the terms: half of the square of the
 vectors' sum less the sum of their squares.
 
 The machine is fitted on a bounded sample: `max_rows` labelled rows, those with
-the least hash of their ids. Buckets that fewer than `least_rows` of them hold
-carry no weight. Everything else reads all rows.
+the least hash of their ids. Buckets carry no weight where fewer than
+`least_rows` of them hold one, nor where a bucket is neither common (a share of
+COMMON of the rows; it may matter in a pair) nor tied to the label (`least_z`
+standard deviations from chance). Everything else reads all rows.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ from .common import keyed, per_batch
 BUCKET_BITS = 20
 MAX_ROWS = 24_000
 LEAST_ROWS = 6
+LEAST_Z = 7.0
+COMMON = 0.2
+POSITIVE = 3.0
 FACTORS = 4
 THRESHOLD = 0.7
 PREFIXES = (None, 4, 5)
@@ -89,11 +94,14 @@ def _raw(bias: float, weight: np.ndarray, vector: np.ndarray, slot: np.ndarray,
     return bias + _sums(weight[slot], bounds) + 0.5 * (s**2 - _sums(v**2, bounds)).sum(1), s
 
 
-def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, *, bits: int = BUCKET_BITS, factors: int = FACTORS, least_rows: int = LEAST_ROWS, passes: int = 8, rate: float = 0.15, decay: float = 2e-5, batch: int = 256, seed: int = 3) -> Machine:
+def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, *, bits: int = BUCKET_BITS, factors: int = FACTORS, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, passes: int = 16, rate: float = 0.25, decay: float = 2e-5, batch: int = 256, seed: int = 3) -> Machine:
     """Logistic loss, minibatches, steps scaled by each parameter's own past gradients."""
     g = np.random.Generator(np.random.PCG64(seed))
     held = np.bincount(idx, minlength=1 << bits)
-    known = np.flatnonzero(held >= least_rows)
+    with_1 = np.bincount(idx, np.repeat(y, np.diff(bounds)), 1 << bits)
+    mean = float(y.mean()) if len(y) else 0.5
+    z = np.abs(with_1 - mean * held) / np.sqrt(np.maximum(held * mean * (1 - mean), 1e-9))
+    known = np.flatnonzero((held >= least_rows) & (z >= least_z) | (held >= max(least_rows, COMMON * len(y))))
     slot = np.full(1 << bits, -1)
     slot[known] = np.arange(len(known))
     s = slot[idx]
@@ -114,7 +122,7 @@ def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, *, bits: int = BUCKE
             at = np.repeat(bounds[rows], n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             t = s[at]
             raw, total = _raw(bias, w, v, t, np.concatenate([[0], np.cumsum(n)]))
-            err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) / len(rows)
+            err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) * np.where(y[rows] > 0, POSITIVE, 1) / len(rows)
             used, inv = np.unique(t, return_inverse=True)
             e = err[own]
             dw = np.bincount(inv, e, len(used)) + decay * w[used]
