@@ -74,12 +74,23 @@ def map_file(uri: str):
         return f.read_buffer()
 
 
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Whole texts are long rows: Arrow batches of Spark's default number of them would take tens of megabytes on both sides of each worker's pipe. A number that the session has set stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long, text string, and nothing else: other columns never reach an operator, so their names can't clash."""
+    lean(docs.sparkSession)
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import per_batch, settle, shared_dir, shuffle_parts
+from .common import lean, per_batch, settle, shared_dir, shuffle_parts
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -34,6 +34,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         n = np.concatenate([np.diff(c.words()[2]) for c in K.chunks(b.column(3))])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(n.astype(np.int64))], names=["doc_id", "source", "tie", "size"])
 
+    lean(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(text).alias("tie"), text.alias("text")).mapInArrow(per_batch(run), "doc_id long, source string, tie long, size long")
 

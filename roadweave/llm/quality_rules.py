@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import per_batch, settle, shared_dir
+from .common import lean, per_batch, settle, shared_dir
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -105,6 +105,7 @@ def measure(c: K.Chunk) -> dict[str, np.ndarray]:
 
 def annotate(df: DataFrame, text: F.Column, carry: list[str]) -> DataFrame:
     """Struct column `carried` (the columns named), `lang`, `source`, and the measures of text in columns of their own."""
+    lean(df.sparkSession)
     names = [*COUNTS, *RULES]
     shaped = df.select(text.cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
     schema = T.StructType([shaped.schema["carried"], shaped.schema["lang"], shaped.schema["source"], *[T.StructField(x, T.LongType()) for x in names]])

@@ -236,7 +236,7 @@ def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.
     return order, same
 
 
-def _resolve(length: int, window_limit: int = 1_500_000):
+def _resolve(length: int, window_limit: int = 400_000):
     """Of a bucket's suffixes: the windows of open runs that some other run of the group also has, as intervals."""
 
     def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
