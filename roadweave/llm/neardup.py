@@ -11,9 +11,10 @@ component. The steps:
     so groups of exact copies cost nothing later on.
 3.  Nodes that share a band key meet in a bucket. Each bucket draws a centre;
     a node is tried against the nearest (by sketch) of its buckets' centres.
-    So a bucket of m nodes gives m pairs, not m * m.
-4.  Links found so make components (large-star / small-star rounds). In buckets
-    that still hold several components, nodes outside the centre's component
+    So a bucket of m nodes gives m pairs, not m * m. Links found so make
+    components (large-star / small-star rounds), and buckets that still hold
+    several draw again, a few times.
+4.  In buckets that hold several components even then, nodes outside the centre's component
     are compared with all nodes of other components: sketches inside the join's
     condition, then the full sets. So no pair within a bucket goes untried but
     those already connected.
@@ -34,6 +35,7 @@ from . import kernels as K
 from .common import keyed, narrow, per_batch, settle, shared_dir
 
 BANDS, ROWS, SKETCH_BITS = 32, 5, 512
+STAR_ROUNDS = 3
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -191,20 +193,31 @@ def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None
     buckets = settle(members.join(crowded, "key"), f"{where}/buckets")
     short = reps.select("node", "label", "n", "odd")
 
-    tries = buckets.where("node <> centre").select("node", "centre").distinct()
-    near = (
-        tries.join(short.alias("x"), "node")
-        .select("node", "centre", F.struct("x.label", "x.n", "x.odd").alias("x"))
-        .join(short.select(F.col("node").alias("centre"), F.struct("label", "n", "odd").alias("y")), "centre")
-        .where(ratio)
-        .select("node", "centre", F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"), F.expr(_NEAR).alias("far"))
-        .where(F.col("far") <= limit)
-        .groupBy("node", "label_a")
-        .agg(F.min(F.struct("far", "centre", "label_b")).alias("best"))
-        .select(F.col("node").alias("a"), "label_a", F.col("best.centre").alias("b"), F.col("best.label_b").alias("label_b"))
-    )
-    first = settle(confirm(docs, settle(near, f"{where}/tries"), k, percent), f"{where}/links")
-    comp = components(first, f"{where}/components")
+    comp = None
+    for turn in range(STAR_ROUNDS):
+        # buckets that hold several components draw a centre anew; the first draw is over all
+        if turn == 0:
+            tries = buckets.where("node <> centre").select("node", "centre").distinct()
+        else:
+            placed = buckets.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+            draw = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("r"), "node", "root")).alias("c")).where("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
+            tries = placed.drop("centre").join(draw, "key").where("root <> centre_root").select("node", "centre").distinct()
+        near = (
+            tries.join(short.alias("x"), "node")
+            .select("node", "centre", F.struct("x.label", "x.n", "x.odd").alias("x"))
+            .join(short.select(F.col("node").alias("centre"), F.struct("label", "n", "odd").alias("y")), "centre")
+            .where(ratio)
+            .select("node", "centre", F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"), F.expr(_NEAR).alias("far"))
+            .where(F.col("far") <= limit)
+            .groupBy("node", "label_a")
+            .agg(F.min(F.struct("far", "centre", "label_b")).alias("best"))
+            .select(F.col("node").alias("a"), "label_a", F.col("best.centre").alias("b"), F.col("best.label_b").alias("label_b"))
+        )
+        links = settle(confirm(docs, settle(near, f"{where}/tries-{turn}"), k, percent), f"{where}/links-{turn}")
+        if turn and links.isEmpty():
+            break
+        known = links if comp is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
+        comp = components(known, f"{where}/components-{turn}")
 
     placed = buckets.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main")).where("lo <> hi").select("key", "main")
@@ -223,7 +236,7 @@ def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None
     second = confirm(docs, settle(more, f"{where}/more-tries"), k, percent)
     linked = settle(second, f"{where}/more-links")
     if not linked.isEmpty():
-        comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked), f"{where}/components-2")
+        comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked), f"{where}/components-last")
 
     named = reps.select("node", "label").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("label").alias("component_id"))
