@@ -73,29 +73,33 @@ def _bare(p: Column) -> Column:
 
 def interpolate(pts: Column, d: Column, z: bool = False) -> Column:
     """Point at distance d along the line, from its end where d is negative; the last point beyond the end; points nearer than 1e-8 snap."""
-    way = F.when(d < 0, F.reverse(pts)).otherwise(pts)
-    far = F.abs(d)
     none = F.lit(None).cast("struct<x: double, y: double, z: double>")
     start = F.struct(F.lit(0.0).alias("run"), none.alias("p"))
+    given = F.struct(F.when(d < 0, F.reverse(pts)).otherwise(pts).alias("way"), F.abs(d).alias("far"))
 
-    def step(acc: Column, s: Column) -> Column:
-        l = distance(s["a"], s["b"], z)
-        end = acc["run"] + l
-        rest = far - acc["run"]
-        here = F.when(F.abs(end - far) < NEAR, _bare(s["b"])).when(end > far, F.when(F.abs(rest) < NEAR, _bare(s["a"])).otherwise(_mix(s["a"], s["b"], rest / l)))
-        return F.struct(end.alias("run"), F.coalesce(acc["p"], here).alias("p"))
+    def body(v: Column) -> Column:
+        sized = F.transform(segments(v["way"]), lambda s: F.struct(s["a"].alias("a"), s["b"].alias("b"), distance(s["a"], s["b"], z).alias("l"), v["far"].alias("far")))
+
+        def step(acc: Column, s: Column) -> Column:
+            end, rest = acc["run"] + s["l"], s["far"] - acc["run"]
+            here = F.when(F.abs(rest - s["l"]) < NEAR, _bare(s["b"])).when(s["l"] > rest, F.when(F.abs(rest) < NEAR, _bare(s["a"])).otherwise(_mix(s["a"], s["b"], rest / s["l"])))
+            return F.struct(end.alias("run"), F.when(acc["p"].isNotNull(), acc["p"]).otherwise(here).alias("p"))
+
+        return F.coalesce(F.aggregate(sized, start, step)["p"], F.when(F.size(v["way"]) > 0, _bare(F.try_element_at(v["way"], F.lit(-1)))))
 
-    return F.coalesce(F.aggregate(segments(way), start, step)["p"], F.when(F.size(pts) > 0, _bare(F.try_element_at(way, F.lit(-1)))))
+    return _let(given, body)
 
 
 def nearest_vertex(pts: Column, d: Column, z: bool = False) -> Column:
     """The vertex nearest to distance d along the line (from its end where negative); the earlier one of a tie."""
-    way = F.when(d < 0, F.reverse(pts)).otherwise(pts)
-    far = F.abs(d)
-    runs = F.concat(F.array(F.lit(0.0)), running(segment_lengths(way, z)))
-    rated = F.zip_with(way, runs, lambda p, r: F.struct(F.abs(r - far).alias("d"), p.alias("p")))
-    best = F.aggregate(rated, F.try_element_at(rated, F.lit(1)), lambda acc, v: F.when(v["d"] < acc["d"], v).otherwise(acc))
-    return best["p"]
+    given = F.struct(F.when(d < 0, F.reverse(pts)).otherwise(pts).alias("way"), F.abs(d).alias("far"))
+
+    def body(v: Column) -> Column:
+        runs = F.concat(F.array(F.lit(0.0)), running(segment_lengths(v["way"], z)))
+        rated = F.zip_with(v["way"], runs, lambda p, r: F.struct(F.abs(r - v["far"]).alias("d"), p.alias("p")))
+        return _let(rated, lambda x: F.aggregate(x, F.try_element_at(x, F.lit(1)), lambda acc, w: F.when(w["d"] < acc["d"], w).otherwise(acc))["p"])
+
+    return _let(given, body)
 
 
 def curvature(a: Column, b: Column, c: Column, signed: bool = False) -> Column:

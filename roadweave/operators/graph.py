@@ -108,11 +108,12 @@ def change_runs(changes: DataFrame, follow: DataFrame, rounds: int = 40) -> Data
     in_degree = follow.groupBy("dst").agg(F.count("*").alias("n")).where("n = 1").select("dst")
     single = out_degree.join(in_degree, out_degree["next"] == in_degree["dst"]).select("src", "next")
     c = changes.select("src", "dst", "side", "length", "mps")
-    nxt = (
+    nxt = checkpointed(
+        changes.sparkSession,
         c.join(single.withColumnsRenamed({"next": "src_next"}), "src")
         .join(single.select(F.col("src").alias("dst"), F.col("next").alias("dst_next")), "dst")
         .join(c.select(F.col("src").alias("src_next"), F.col("dst").alias("dst_next"), "side"), ["src_next", "dst_next", "side"], "left_semi")
-        .select(F.struct("src", "dst", "side").alias("a"), F.struct(F.col("src_next").alias("src"), F.col("dst_next").alias("dst"), "side").alias("b"))
+        .select(F.struct("src", "dst", "side").alias("a"), F.struct(F.col("src_next").alias("src"), F.col("dst_next").alias("dst"), "side").alias("b")),
     )
     # head: the first pair of the run and how far it is; loops stop at the rounds' limit and keep a member of the loop
     state = c.select(F.struct("src", "dst", "side").alias("a")).join(nxt.select(F.col("b").alias("a"), F.col("a").alias("up")), "a", "left").withColumn("steps", F.when(F.col("up").isNotNull(), 1).otherwise(0)).withColumn("up", F.coalesce("up", "a"))
@@ -128,7 +129,7 @@ def change_runs(changes: DataFrame, follow: DataFrame, rounds: int = 40) -> Data
         longest *= 2
         if longest > 1 << 20:
             break
-    return c.withColumn("a", F.struct("src", "dst", "side")).join(state, "a").select("src", "dst", "side", F.col("up").alias("run"), F.col("steps").alias("pos"), "length", "mps")
+    return checkpointed(spark, c.withColumn("a", F.struct("src", "dst", "side")).join(state, "a").select("src", "dst", "side", F.col("up").alias("run"), F.col("steps").alias("pos"), "length", "mps"))
 
 
 def checkpointed(spark, df: DataFrame) -> DataFrame:
@@ -140,9 +141,11 @@ def checkpointed(spark, df: DataFrame) -> DataFrame:
 
 def build(m: RoadMap, rules: R.Rules, costs: tuple[Cost, ...] = DEFAULT_COSTS, *, conflicts: bool = True, cell: float = 25.0) -> Graph:
     """The graph of a map for one rule set."""
-    v = vertices(m, rules)
-    follow = following(v)
-    side = beside(v).join(follow.select("src", "dst"), ["src", "dst"], "left_anti")
+    spark = m.lanelets.sparkSession
+    # each of these feeds several kinds of edges: computed once, in the shared folder
+    v = checkpointed(spark, vertices(m, rules))
+    follow = checkpointed(spark, following(v))
+    side = checkpointed(spark, beside(v).join(follow.select("src", "dst"), ["src", "dst"], "left_anti"))
     runs = change_runs(side.where("allowed"), follow)
     after = Window.partitionBy("run").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
     runs = runs.withColumn("run_length", F.sum("length").over(after))

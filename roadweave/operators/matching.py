@@ -45,18 +45,17 @@ def angle_difference(a: Column, b: Column) -> Column:
 def probabilistic(objects: DataFrame, shapes: DataFrame, radius: float, cell: float = 20.0) -> DataFrame:
     """As deterministic, ordered by the squared Mahalanobis distance. objects also has yaw, cov (xx, xy, yx, yy) and kappa; a singular covariance is an error."""
     got = deterministic(objects, shapes, radius, cell).drop("rank")
-    p = F.struct("x", "y")
-    at = P.to_arc(F.col("middle"), p)["length"]
-    a, b = P.interpolate(F.col("middle"), F.greatest(at - 0.5, F.lit(0.0))), P.interpolate(F.col("middle"), at + 0.5)
-    yaw = F.atan2(b["y"] - a["y"], b["x"] - a["x"]) + F.when(F.col("inv"), math.pi).otherwise(0.0)
-    foot = P.project(F.col("middle"), p)
-    dx, dy = F.col("x") - foot["x"], F.col("y") - foot["y"]
+    # a column for each step, so that no step's expression is written out twice
+    got = got.withColumn("_at", P.to_arc(F.col("middle"), F.struct("x", "y"))["length"]).withColumn("_foot", P.project(F.col("middle"), F.struct("x", "y")))
+    got = got.withColumn("_a", P.interpolate(F.col("middle"), F.greatest(F.col("_at") - 0.5, F.lit(0.0)))).withColumn("_b", P.interpolate(F.col("middle"), F.col("_at") + 0.5))
+    yaw = F.atan2(F.col("_b.y") - F.col("_a.y"), F.col("_b.x") - F.col("_a.x")) + F.when(F.col("inv"), math.pi).otherwise(0.0)
     det = F.col("cov.xx") * F.col("cov.yy") - F.col("cov.xy") * F.col("cov.yx")
-    safe = F.when(F.abs(det) < 1e-8, F.raise_error(F.lit("the covariance is singular")).cast("double")).otherwise(det)
-    turn = angle_difference(F.col("yaw"), yaw) * F.col("kappa")
-    m = turn * turn + (dx * dx * F.col("cov.yy") - dx * dy * (F.col("cov.xy") + F.col("cov.yx")) + dy * dy * F.col("cov.xx")) / safe
+    got = got.withColumn("_turn", angle_difference(F.col("yaw"), yaw) * F.col("kappa")).withColumn("_dx", F.col("x") - F.col("_foot.x")).withColumn("_dy", F.col("y") - F.col("_foot.y")).withColumn("_det", det)
+    safe = F.when(F.abs("_det") < 1e-8, F.raise_error(F.lit("the covariance is singular")).cast("double")).otherwise(F.col("_det"))
+    dx, dy = F.col("_dx"), F.col("_dy")
+    m = F.col("_turn") * F.col("_turn") + (dx * dx * F.col("cov.yy") - dx * dy * (F.col("cov.xy") + F.col("cov.yx")) + dy * dy * F.col("cov.xx")) / safe
     rank = Window.partitionBy("object_id").orderBy("mahalanobis", "lane_id", "inv")
-    return got.withColumn("mahalanobis", m).withColumn("rank", F.row_number().over(rank)).drop("middle")
+    return got.withColumn("mahalanobis", m).withColumn("rank", F.row_number().over(rank)).drop("middle", "_at", "_foot", "_a", "_b", "_turn", "_dx", "_dy", "_det")
 
 
 def compliant(matches: DataFrame, passable: DataFrame) -> DataFrame:

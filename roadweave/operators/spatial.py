@@ -111,8 +111,7 @@ def _parted(r: Column, q: Column) -> Column:
     """Whether an edge's line of r has all of r on one side and all of q on the other (or on it)."""
     side = lambda s, p: (s["b"]["x"] - s["a"]["x"]) * (p["y"] - s["a"]["y"]) - (s["b"]["y"] - s["a"]["y"]) * (p["x"] - s["a"]["x"])
     eps = 1e-9
-    return F.exists(
-        P.ring_segments(r),
-        lambda s: (F.forall(r, lambda p: side(s, p) >= -eps) & F.forall(q, lambda p: side(s, p) <= eps)) | (F.forall(r, lambda p: side(s, p) <= eps) & F.forall(q, lambda p: side(s, p) >= -eps)),
-    )
-
+    span = lambda s, pts: F.transform(pts, lambda p: side(s, p))
+    ends = F.transform(P.ring_segments(r), lambda s: F.struct(span(s, r).alias("r"), span(s, q).alias("q")))
+    ends = F.transform(ends, lambda e: F.struct(F.array_min(e["r"]).alias("r0"), F.array_max(e["r"]).alias("r1"), F.array_min(e["q"]).alias("q0"), F.array_max(e["q"]).alias("q1")))
+    return F.exists(ends, lambda e: ((e["r0"] >= -eps) & (e["q1"] <= eps)) | ((e["r1"] <= eps) & (e["q0"] >= -eps)))
