@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .kernels import trim
+
 
 def shuffle_parts(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets them; they should follow the input's size."""
@@ -102,6 +104,8 @@ def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list]) -> Callable
             if b.num_rows:
                 out = fn(b)
                 yield from out if isinstance(out, list) else [out]
+                out = None
+        trim()
 
     return run
 

@@ -40,6 +40,7 @@ from .common import keyed, per_batch, shuffle_parts
 
 GRAM = 48
 HOT_GROUP = 4096
+CHUNK = 1 << 19
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -133,7 +134,7 @@ def _tokens(docs: DataFrame, length: int, parts: int) -> DataFrame:
         ids = np.where(null, np.iinfo(np.int64).min, ids.fill_null(0).to_numpy(zero_copy_only=False))
         content = b.column(2).to_numpy()
         rows: list[tuple] = []
-        for c in K.chunks(b.column(1)):
+        for c in K.chunks(b.column(1), CHUNK):
             s, n, p, g, whole = runs(c, length)
             doc = np.searchsorted(c.off, s, "right") - 1
             rows.append((ids[c.lo + doc], content[c.lo + doc], s - c.off[doc], n, p - s, g, whole))
@@ -157,6 +158,8 @@ def _settled(length: int):
     small = np.uint8 if length <= 255 else np.uint32
 
     def run(t: pa.Table) -> pa.Table:
+        K.trim()
+
         def col(name: str, kind) -> np.ndarray:
             return np.frombuffer(b"".join(t.column(name).to_pylist()), kind)
 
@@ -236,7 +239,7 @@ def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.
     return order, same
 
 
-def _resolve(length: int, window_limit: int = 400_000):
+def _resolve(length: int, window_limit: int = 200_000):
     """Of a bucket's suffixes: the windows of open runs that some other run of the group also has, as intervals."""
 
     def finish(rows: list[pa.RecordBatch]) -> pa.RecordBatch | None:
@@ -261,12 +264,18 @@ def _resolve(length: int, window_limit: int = 400_000):
             hi = ends[max(np.searchsorted(ends, lo, "right"), np.searchsorted(total[ends - 1], base + window_limit, "right") - 1)]
             r = order[lo:hi]
             k = num["n"][r]
-            own = np.repeat(r, k)
+            # the slice's own bytes, so that hashing holds no more than it needs
+            sizes_r = c.off[r + 1] - c.off[r]
+            base_r = np.cumsum(sizes_r) - sizes_r
+            own_bytes = np.repeat(c.off[r] - base_r, sizes_r) + np.arange(int(sizes_r.sum()))
+            piece = K.Chunk(c.data[own_bytes], np.append(base_r, sizes_r.sum()), 0)
+            slot = np.repeat(np.arange(len(r)), k)
+            own = r[slot]
             step = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
             keep = (num["place"][own] - step) % num["slices"][own] == num["part"][own]
-            own, step = own[keep], step[keep]
-            at = c.off[own] + step
-            h = c.hash_ranges(at, at + length)
+            own, step, slot = own[keep], step[keep], slot[keep]
+            at = base_r[slot] + step
+            h = piece.hash_ranges(at, at + length)
             # equal windows have their anchor at the same place: (group, place) is implied by the bytes
             o = np.argsort(h)
             hs = h[o]
@@ -289,9 +298,11 @@ def _resolve(length: int, window_limit: int = 400_000):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc_id", "content", "start", "end"])
 
     def run(batches):
+        K.trim()
         rows = [b for b in batches if b.num_rows]
         if rows and (got := finish(rows)) is not None:
             yield got
+        K.trim()
 
     return run
 
