@@ -11,6 +11,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..errors import NoSuchPrimitiveError
 from ..functions import boxes as B
@@ -90,7 +91,7 @@ def _extent(box: str) -> list[Column]:
     return [F.min(f"{box}.xmin"), F.min(f"{box}.ymin"), F.max(f"{box}.xmax"), F.max(f"{box}.ymax")]
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(BooleanType())
 def rings_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
     """Whether the interiors of two rings meet."""
     return pa.array([S.overlaps([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
