@@ -96,7 +96,8 @@ def runs(c: K.Chunk, length: int) -> tuple[np.ndarray, ...]:
         out_p.append(first)
         rest = until < stop
     s, cnt, place = np.concatenate(out_s), np.concatenate(out_n), np.concatenate(out_p)
-    return s, cnt, place, h[place], c.hash_ranges(s, s + cnt - 1 + length)
+    # an anchor's hash is the least of many, so it is mixed again: ranges of it shall be equally full
+    return s, cnt, place, K.mix64(h[place]), c.hash_ranges(s, s + cnt - 1 + length)
 
 
 def _candidates(h: np.ndarray, low: np.ndarray, ok: np.ndarray, w: int) -> np.ndarray:
