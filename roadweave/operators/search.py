@@ -111,7 +111,7 @@ def reachable(edges: DataFrame, starts: DataFrame, max_cost: float) -> DataFrame
 
 def reachable_towards(edges: DataFrame, ends: DataFrame, max_cost: float) -> DataFrame:
     """(query, v, cost): from where an end is reached within max_cost."""
-    return reachable(edges.withColumnsRenamed({"src": "dst", "dst": "src"}), ends, max_cost)
+    return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "relation"), ends, max_cost)
 
 
 def walk_back(tree: DataFrame, ends: DataFrame, most: int = 1_000_000) -> DataFrame:
