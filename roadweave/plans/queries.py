@@ -415,12 +415,12 @@ def reachable_sets_by_joins(spark: SparkSession, sf: str) -> DataFrame:
     return S.relax(edges, starts(spark, sf, 40), max_cost=60.0).select("query", code("v").alias("v"), F.round("cost", 5).alias("cost"))
 
 
-@query(_EDGES + _REACH.format(every=40, most=400) + " SELECT query, round(cost, 4) AS cost FROM reach WHERE v = (query + 80) * 2")
+@query(_EDGES + _REACH.format(every=2, most=100) + " SELECT query, round(cost, 4) AS cost FROM reach WHERE v = (query + 8) * 2")
 def shortest_path_costs(spark: SparkSession, sf: str) -> DataFrame:
-    """From every 40th lane to the one 20 stations on."""
+    """From every other lane to the one two stations on."""
     g = car_graph(spark, sf, costs=(G.Cost("distance", 10.0),), conflicts=False)
-    q = starts(spark, sf, 40).withColumn("target", F.struct((F.col("query") + 80).alias("id"), F.lit(False).alias("inv")))
-    return S.shortest_paths(g.view(DRIVE), q).where("cost <= 400").select("query", F.round("cost", 4).alias("cost"))
+    q = starts(spark, sf, 2).withColumn("target", F.struct((F.col("query") + 8).alias("id"), F.lit(False).alias("inv")))
+    return S.shortest_paths(g.view(DRIVE), q).where("cost <= 100").select("query", F.round("cost", 4).alias("cost"))
 
 
 @query()
