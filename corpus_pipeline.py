@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before
 kept, and returns a DataFrame, which is written as Parquet and read again.
+
+All stages but the last return the columns that docs came with, whatever their
+names. Null and empty texts have no word, so the first stage rejects them; null
+languages and sources are values like others; repeated rows are judged each by
+itself, and the mix takes each as often as its own place in the plan says; very
+long texts are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -270,3 +270,79 @@ def offset(line: Sequence[Point], d: float) -> list[Point]:
     if len(out) < 2 or all((q[0] - p[0]) * (v[0] - u[0]) + (q[1] - p[1]) * (v[1] - u[1]) < -1e-7 for p, q in zip(line, line[1:], strict=False) for u, v in zip(out, out[1:], strict=False)):
         raise GeometryError("the offset turns the line around")
     return out
+
+
+def meet(a: Sequence[Point], b: Sequence[Point]) -> bool:
+    """Whether two filled rings share a point, borders included."""
+    if not a or not b:
+        return False
+    if crossings([*a, a[0]], [*b, b[0]]):
+        return True
+    return _holds(a, b[0]) or _holds(b, a[0])
+
+
+def _holds(ring: Sequence[Point], p: Point) -> bool:
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]], strict=True):
+        if (ay > p[1]) != (by > p[1]) and p[0] < (bx - ax) * (p[1] - ay) / (by - ay) + ax:
+            odd = not odd
+    return odd
+
+
+def height_at(line: Sequence[Sequence[float]], p: Sequence[float]) -> float:
+    """z of a line in space where it is nearest to p seen from above."""
+    best = (math.inf, 0.0)
+    for a, b in list(zip(line, line[1:], strict=False)) or [(line[0], line[0])]:
+        d = [b[0] - a[0], b[1] - a[1]]
+        size = d[0] * d[0] + d[1] * d[1]
+        t = 0.0 if size == 0 else max(0.0, min(1.0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / size))
+        far = math.hypot(a[0] + t * d[0] - p[0], a[1] + t * d[1] - p[1])
+        if far < best[0] - 1e-12:
+            best = (far, a[2] + t * (b[2] - a[2]))
+    return best[1]
+
+
+def gaps(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) -> list[float]:
+    """Differences in height of two lines in space where they cross seen from above."""
+    return [abs(height_at(a, p) - height_at(b, p)) for p in crossings([x[:2] for x in a], [x[:2] for x in b])]
+
+
+def height_gap(a: Sequence[Sequence[float]], b: Sequence[Sequence[float]]) -> float:
+    """Difference in height of two rings' borders where they are nearest seen from above."""
+    if not a or not b:
+        return math.inf
+    ra, rb = [*a, a[0]], [*b, b[0]]
+    p, q = closest_pair([x[:2] for x in ra], [x[:2] for x in rb])
+    return abs(height_at(ra, p) - height_at(rb, q))
+
+
+def outline(rings: Sequence[Sequence[Sequence[float]]]) -> list[Sequence[float]]:
+    """The ring around rings that touch in turn, clockwise: all segments but those that another ring has backwards."""
+    turned = [list(r) if signed_area([p[:2] for p in r]) <= 0 else list(r)[::-1] for r in rings if r]
+    if not turned:
+        return []
+    sides = [[(tuple(p), tuple(q)) for p, q in zip(r, [*r[1:], r[0]], strict=True) if tuple(p) != tuple(q)] for r in turned]
+    for x, y in zip(sides, sides[1:], strict=False):
+        back = {(q, p) for p, q in y}
+        if not any(s in back for s in x):
+            raise GeometryError("two members of the path share no border")
+    count: dict = {}
+    for ring in sides:
+        for s in ring:
+            count[s] = count.get(s, 0) + 1
+    follow: dict = {}
+    for (p, q), n in count.items():
+        if n > count.get((q, p), 0):
+            follow.setdefault(p, []).append(q)
+    if not follow:
+        return []
+    start = next(p for p, _ in sides[0] if p in follow) if any(p in follow for p, _ in sides[0]) else next(iter(follow))
+    out, at = [start], start
+    while True:
+        ways = follow.get(at)
+        if not ways:
+            raise GeometryError("the outline isn't closed")
+        at = ways.pop(0)
+        if at == start:
+            return out
+        out.append(at)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..model import RoadMap
+from ..model import RoadMap, flip
+from .graph import checkpointed
 
 
 def add(m: RoadMap, **layers: DataFrame) -> RoadMap:
@@ -22,7 +23,7 @@ def add_parameters(m: RoadMap, rows: DataFrame) -> RoadMap:
 
 
 def closure(m: RoadMap, *, lanelets: DataFrame | None = None, areas: DataFrame | None = None, regelems: DataFrame | None = None, linestrings: DataFrame | None = None, polygons: DataFrame | None = None) -> RoadMap:
-    """The part of a map that ids (column id) of some layers need: rules of lanes and areas, what those refer to, bounds, points. References nest at most this deep, so no fix point is sought."""
+    """The part of a map that ids (column id) of some layers need: rules of lanes and areas, what those refer to, bounds, points. Rules name lanes and lanes rules, so those are followed until no more are found."""
     spark = m.points.sparkSession
     none = spark.createDataFrame([], "id bigint")
     pick = lambda df: none if df is None else df.select("id")
@@ -35,10 +36,15 @@ def closure(m: RoadMap, *, lanelets: DataFrame | None = None, areas: DataFrame |
     def rules_of(layer: DataFrame, ids: DataFrame) -> DataFrame:
         return layer.join(ids.distinct(), "id", "left_semi").select(F.explode("regelem_ids").alias("id"))
 
-    for _ in range(2):  # lanes name rules, rules name lanes
-        rules = rules.union(rules_of(m.lanelets, ll)).union(rules_of(m.areas, ar)).distinct()
-        ll = ll.union(of_rules(rules, "lanelet")).distinct()
-        ar = ar.union(of_rules(rules, "area")).distinct()
+    found = -1
+    while True:  # each round ends in the shared folder, so the plan stays as it is
+        rules = checkpointed(spark, rules.union(rules_of(m.lanelets, ll)).union(rules_of(m.areas, ar)).distinct())
+        ll = checkpointed(spark, ll.union(of_rules(rules, "lanelet")).distinct())
+        ar = checkpointed(spark, ar.union(of_rules(rules, "area")).distinct())
+        now = rules.count() + ll.count() + ar.count()
+        if now == found:
+            break
+        found = now
     some_ll, some_ar = m.lanelets.join(ll, "id", "left_semi"), m.areas.join(ar, "id", "left_semi")
     ls = pick(linestrings).union(of_rules(rules, "linestring")).union(some_ll.select(F.explode(F.array("left.id", "right.id", "centerline_id")))).union(some_ar.select(F.explode(F.flatten(F.concat(F.array("outer"), "inner")))).select("col.id"))
     po = pick(polygons).union(of_rules(rules, "polygon"))
@@ -75,3 +81,54 @@ def positive_ids(m: RoadMap) -> RoadMap:
         m.regelems.withColumn("id", up(F.col("id"))),
         m.regelem_params.withColumn("regelem_id", up(F.col("regelem_id"))).withColumn("ref_id", up(F.col("ref_id"))),
     )
+
+
+# ---- lanes and areas --------------------------------------------------------------------------------------------
+
+
+def _set(layer: DataFrame, ids: DataFrame, **new: Column) -> DataFrame:
+    """Columns of the rows whose id is among ids; the others stay."""
+    mine = ids.select(F.col("id").alias("_i")).distinct()
+    j = layer.join(mine, F.col("id") == F.col("_i"), "left")
+    for c, v in new.items():
+        j = j.withColumn(c, F.when(F.col("_i").isNotNull(), v.cast(layer.schema[c].dataType)).otherwise(F.col(c)))
+    return j.select(*layer.columns)
+
+
+def set_bounds(m: RoadMap, ids: DataFrame, *, left: Column | None = None, right: Column | None = None, inv: Column | bool = False) -> RoadMap:
+    """New bounds (id, inv) of lanes; a lane seen backwards (inv) has them flipped and swapped. A centre line made from the old bounds goes."""
+    back = F.lit(inv) if isinstance(inv, bool) else inv
+    l, r = left if left is not None else F.when(back, flip(F.col("right"))).otherwise(F.col("left")), right if right is not None else F.when(back, flip(F.col("left"))).otherwise(F.col("right"))
+    return m.with_(lanelets=_set(m.lanelets, ids, left=F.when(back, flip(r)).otherwise(l), right=F.when(back, flip(l)).otherwise(r), centerline_id=F.lit(None)) if left is not None or right is not None else m.lanelets)
+
+
+def set_centreline(m: RoadMap, ids: DataFrame, line: Column) -> RoadMap:
+    """A centre line of one's own; null takes the lanes back to that between their bounds."""
+    return m.with_(lanelets=_set(m.lanelets, ids, centerline_id=line))
+
+
+def set_rings(m: RoadMap, ids: DataFrame, *, outer: Column | None = None, inner: Column | None = None) -> RoadMap:
+    new = {k: v for k, v in (("outer", outer), ("inner", inner)) if v is not None}
+    return m.with_(areas=_set(m.areas, ids, **new))
+
+
+def add_rules(m: RoadMap, layer: str, pairs: DataFrame) -> RoadMap:
+    """Rules named by lanes or areas (layer) of pairs (id, regelem_id); one that is there already is not named twice."""
+    t = getattr(m, layer)
+    more = pairs.groupBy(F.col("id").alias("_i")).agg(F.sort_array(F.collect_set("regelem_id")).alias("_r"))
+    j = t.join(more, F.col("id") == F.col("_i"), "left")
+    return m.with_(**{layer: j.withColumn("regelem_ids", F.when(F.col("_r").isNull(), F.col("regelem_ids")).otherwise(F.concat("regelem_ids", F.array_except("_r", "regelem_ids")))).select(*t.columns)})
+
+
+def remove_rules(m: RoadMap, layer: str, pairs: DataFrame) -> RoadMap:
+    t = getattr(m, layer)
+    less = pairs.groupBy(F.col("id").alias("_i")).agg(F.collect_set("regelem_id").alias("_r"))
+    j = t.join(less, F.col("id") == F.col("_i"), "left")
+    return m.with_(**{layer: j.withColumn("regelem_ids", F.when(F.col("_r").isNull(), F.col("regelem_ids")).otherwise(F.filter("regelem_ids", lambda r: ~F.array_contains(F.col("_r"), r)))).select(*t.columns)})
+
+
+def expired(m: RoadMap) -> DataFrame:
+    """(regelem_id, role, kind, ref_id): parameters whose target is not in the map (any more)."""
+    from .regelems import parameters
+
+    return m.regelem_params.select("regelem_id", "role", "kind", "ref_id").exceptAll(parameters(m).select("regelem_id", "role", "kind", "ref_id"))

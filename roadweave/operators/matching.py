@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import polylines as P
+from ..functions.flat import ring_distance
 from .spatial import within
 
 
@@ -24,9 +25,8 @@ def _mid(a: Column, b: Column) -> Column:
 
 def candidates(objects: DataFrame, shapes: DataFrame, radius: float, cell: float = 20.0) -> DataFrame:
     """Pairs of objects (object_id, x, y) and lanes within radius of the lane's surface."""
-    p = F.struct("x", "y")
     o = objects.withColumn("abox", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")))
-    return within(o, shapes, radius, P.distance_to_ring(F.col("ring"), p), cell).drop("abox", "bbox")
+    return within(o, shapes, radius, ring_distance("ring", "x", "y"), cell).drop("abox", "bbox")
 
 
 def deterministic(objects: DataFrame, shapes: DataFrame, radius: float, cell: float = 20.0) -> DataFrame:
@@ -58,6 +58,11 @@ def probabilistic(objects: DataFrame, shapes: DataFrame, radius: float, cell: fl
     return got.withColumn("mahalanobis", m).withColumn("rank", F.row_number().over(rank)).drop("middle", "_at", "_foot", "_a", "_b", "_turn", "_dx", "_dy", "_det")
 
 
+def only(shapes: DataFrame, passable: DataFrame) -> DataFrame:
+    """Shapes of lanes that may be used in some direction: what compliant would drop in both need not be matched first."""
+    return shapes.join(passable.select(F.col("id").alias("lane_id")).distinct(), "lane_id", "left_semi")
+
+
 def compliant(matches: DataFrame, passable: DataFrame) -> DataFrame:
     """Matches whose lane may be used in their direction. passable: id, inv."""
     return matches.join(passable.select(F.col("id").alias("lane_id"), "inv"), ["lane_id", "inv"], "left_semi")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import InvalidInputError
 from ..functions import attributes as A
 from ..functions import polylines as P
-from ..model import RoadMap, with_points
+from ..model import SCHEMAS, RoadMap, with_points
 
 KINDS = ("traffic_light", "right_of_way", "all_way_stop", "traffic_sign", "speed_limit", "")
 #: roles by kind
@@ -31,8 +34,8 @@ def roles(m: RoadMap) -> DataFrame:
 
 
 def of_kind(m: RoadMap, subtype: str) -> DataFrame:
-    if subtype not in KINDS:
-        raise InvalidInputError(f"no regulatory element of kind {subtype!r}; there are {', '.join(filter(None, KINDS))}")
+    if subtype not in _FACTORY:
+        raise InvalidInputError(f"no regulatory element of kind {subtype!r}; there are {', '.join(available())}")
     return m.regelems.where(F.col("subtype") == subtype)
 
 
@@ -102,3 +105,115 @@ def boxes(m: RoadMap) -> DataFrame:
 
 def is_dynamic(attrs) -> F.Column:
     return F.coalesce(A.as_bool(F.try_element_at(attrs, F.lit("dynamic"))), F.lit(False))
+
+
+# ---- making and changing ----------------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Rows:
+    """New elements as rows of the two tables."""
+
+    regelems: DataFrame
+    params: DataFrame
+
+    def onto(self, m: RoadMap) -> RoadMap:
+        return m.with_(regelems=m.regelems.unionByName(self.regelems), regelem_params=m.regelem_params.unionByName(self.params))
+
+
+def _no_check(roles: dict[str, list]) -> str | None:
+    return None
+
+
+def _light(roles: dict[str, list]) -> str | None:
+    return "needs a light" if not roles.get(LIGHT) else "has several stop lines" if len(roles.get(STOP, [])) > 1 else None
+
+
+def _right_of_way(roles: dict[str, list]) -> str | None:
+    return None if roles.get(FIRST) and roles.get(YIELD) else "needs lanes that go and lanes that yield"
+
+
+def _all_way_stop(roles: dict[str, list]) -> str | None:
+    stops, yields = len(roles.get(STOP, [])), len(roles.get(YIELD, []))
+    return None if not stops or stops == yields else "needs as many stop lines as lanes"
+
+
+_FACTORY: dict[str, Callable[[dict[str, list]], str | None]] = {"": _no_check, "traffic_light": _light, "right_of_way": _right_of_way, "all_way_stop": _all_way_stop, "traffic_sign": _no_check, "speed_limit": _no_check}
+
+
+def available() -> list[str]:
+    """Kinds that create knows, in order; the nameless generic one aside."""
+    return sorted(k for k in _FACTORY if k)
+
+
+def register(subtype: str, check: Callable[[dict[str, list]], str | None] = _no_check) -> None:
+    """Adds a kind. check gets the parameters by role and says what is wrong with them, or None."""
+    _FACTORY[subtype] = check
+
+
+def create(spark: SparkSession, subtype: str, i: int, parameters: dict[str, list[tuple[str, int]]], attrs: dict[str, str] | None = None) -> Rows:
+    """An element of a kind as rows; parameters: role -> (kind of primitive, id) in order. An unknown kind, or parameters that it can't have, are errors."""
+    if subtype not in _FACTORY:
+        raise InvalidInputError(f"no regulatory element of kind {subtype!r}; there are {', '.join(available())}")
+    if wrong := _FACTORY[subtype](parameters):
+        raise InvalidInputError(f"{subtype or 'generic'} {i} {wrong}")
+    rows = [(i, role, pos, kind, ref, False) for role, refs in parameters.items() for pos, (kind, ref) in enumerate(refs)]
+    return Rows(spark.createDataFrame([(i, subtype, {**(attrs or {}), "type": "regulatory_element", "subtype": subtype})], SCHEMAS["regelems"]), spark.createDataFrame(rows, SCHEMAS["regelem_params"]))
+
+
+def add(m: RoadMap, role: str, refs: DataFrame) -> RoadMap:
+    """Parameters (regelem_id, kind, ref_id) appended to a role, after those that are there; one that is there already is not added twice. The n-th all-way stop line so stays the n-th lane's."""
+    old = m.regelem_params.where(F.col("role") == role)
+    last = old.groupBy("regelem_id").agg((F.max("pos") + 1).alias("from"))
+    new = refs.select("regelem_id", "kind", "ref_id").distinct().join(old.select("regelem_id", "kind", "ref_id"), ["regelem_id", "kind", "ref_id"], "left_anti")
+    listed = new.groupBy("regelem_id").agg(F.sort_array(F.collect_list(F.struct("kind", "ref_id"))).alias("r")).join(last, "regelem_id", "left").select("regelem_id", "from", F.posexplode("r").alias("i", "r"))
+    rows = listed.select("regelem_id", F.lit(role).alias("role"), (F.coalesce("from", F.lit(0)) + F.col("i")).cast("int").alias("pos"), "r.kind", "r.ref_id", F.lit(False).alias("inv"))
+    return m.with_(regelem_params=m.regelem_params.unionByName(rows))
+
+
+def remove(m: RoadMap, role: str, refs: DataFrame) -> RoadMap:
+    """Parameters (regelem_id, ref_id) taken out of a role; those after them move up."""
+    from pyspark.sql import Window
+
+    mine = m.regelem_params.where(F.col("role") == role)
+    left = mine.join(refs.select("regelem_id", "ref_id"), ["regelem_id", "ref_id"], "left_anti")
+    left = left.withColumn("pos", (F.row_number().over(Window.partitionBy("regelem_id").orderBy("pos")) - 1).cast("int"))
+    return m.with_(regelem_params=m.regelem_params.where(F.col("role") != role).unionByName(left.select(*m.regelem_params.columns)))
+
+
+def set_stop_line(m: RoadMap, lines: DataFrame) -> RoadMap:
+    """One stop line (regelem_id, ref_id) in place of any that an element had; a null ref_id takes it away."""
+    others = m.regelem_params.join(lines.select("regelem_id", F.lit(STOP).alias("role")), ["regelem_id", "role"], "left_anti").select(*m.regelem_params.columns)
+    new = lines.where("ref_id is not null").select("regelem_id", F.lit(STOP).alias("role"), F.lit(0).alias("pos"), F.lit("linestring").alias("kind"), "ref_id", F.lit(False).alias("inv"))
+    return m.with_(regelem_params=others.unionByName(new))
+
+
+def signs(m: RoadMap) -> DataFrame:
+    """(id, signs, ref_lines, cancelling, cancel_lines, cancel_types) of traffic signs and speed limits."""
+    mine = m.regelems.where(F.col("subtype").isin("traffic_sign", "speed_limit")).select("id")
+    shapes = m.linestrings.select(F.lit("linestring").alias("kind"), F.col("id").alias("ref_id"), "attrs").unionByName(m.polygons.select(F.lit("polygon").alias("kind"), F.col("id").alias("ref_id"), "attrs"))
+    p = m.regelem_params.join(shapes, ["kind", "ref_id"])
+    of = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("pos", "ref_id")))), lambda x: x["ref_id"])
+    types = F.sort_array(F.collect_set(F.when(F.col("role") == CANCEL, F.try_element_at("attrs", F.lit("subtype")))))
+    got = p.groupBy(F.col("regelem_id").alias("id")).agg(of(SIGN).alias("signs"), of(LINE).alias("ref_lines"), of(CANCEL).alias("cancelling"), of(CANCEL_LINE).alias("cancel_lines"), types.alias("cancel_types"))
+    return mine.join(got, "id", "left")
+
+
+def distances(m: RoadMap, at: DataFrame) -> DataFrame:
+    """(regelem_id, x, y, distance) of points (regelem_id, x, y): to the nearest of an element's points, lines and filled polygons; infinite where it has none."""
+    p = F.struct("x", "y")
+    asked = at.select("regelem_id", "x", "y").distinct().join(m.regelem_params.select("regelem_id", "kind", "ref_id"), "regelem_id", "left")
+    dots = m.points.select(F.lit("point").alias("kind"), F.col("id").alias("ref_id"), F.array(F.struct("id", "x", "y", "z")).alias("pts"))
+    lines = with_points(m.linestrings, m.points).select(F.lit("linestring").alias("kind"), F.col("id").alias("ref_id"), "pts")
+    rings = with_points(m.polygons, m.points).select(F.lit("polygon").alias("kind"), F.col("id").alias("ref_id"), "pts")
+    j = asked.join(dots.unionByName(lines).unionByName(rings), ["kind", "ref_id"], "left")
+    d = F.when(F.col("kind") == "polygon", P.distance_to_ring(F.col("pts"), p)).otherwise(P.distance_to(F.col("pts"), p))
+    return j.groupBy("regelem_id", "x", "y").agg(F.coalesce(F.min(F.when(F.col("pts").isNotNull(), d)), F.lit(float("inf"))).alias("distance"))
+
+
+def by_kind(**what: Column) -> Column:
+    """What to make of a parameter by the kind of its primitive (point, linestring, polygon, lanelet, area); null for kinds that aren't named."""
+    out = F.lit(None)
+    for kind, v in what.items():
+        out = F.when(F.col("kind") == kind, v).otherwise(out)
+    return out

@@ -1,16 +1,18 @@
 """Searches on a graph's edges: shortest paths, reachable sets, possible paths.
 
-Many searches run at once, keyed by query. Two ways give the same costs: a heap
+Many searches run at once, keyed by query. Two ways give the same trees: a heap
 search in each task over the whole adjacency list, where that is small enough to
 send to all workers, and rounds of relaxation with joins, which hold no more
-than a shuffle does and so take any size.
+than a shuffle does and so take any size. In both, of ways of equal cost that of
+fewer steps counts, then that of fewer lane changes, then the lesser predecessor.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections import defaultdict
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from ..errors import InvalidInputError
 from .graph import checkpointed
 
-#: edges that may be sent to workers: some 100 bytes each
+#: edges that may be sent to workers, at 17 bytes each
 BROADCAST_EDGES = 500_000
 V = "struct<id: bigint, inv: boolean>"
 TREE = f"query bigint, v {V}, cost double, hops int, changes int, pred {V}, leaf boolean"
@@ -48,56 +50,163 @@ def relax(edges: DataFrame, starts: DataFrame, *, max_cost: float | None = None,
     raise InvalidInputError("the search did not end: an edge may cost less than nothing")
 
 
-def heap_trees(edges: DataFrame, starts: DataFrame, *, max_cost: float | None = None, max_hops: int | None = None, expand_below: float | None = None, target: bool = False) -> DataFrame:
-    """As relax, by a heap for each query; with a column target in starts each search stops there."""
-    rows = edges.select("src.id", "src.inv", F.col("dst.id").alias("d"), F.col("dst.inv").alias("dinv"), "cost", "relation").toArrow().to_pydict()
-    near: dict = defaultdict(list)
-    for s, si, d, di, c, r in zip(*rows.values(), strict=True):
-        near[s, si].append(((d, di), c, r != 1))
-    for x in near.values():
-        x.sort()
-    sent = edges.sparkSession.sparkContext.broadcast(dict(near))
-    shaped = starts.select(F.col("query").cast("long").alias("query"), "v", *(["target"] if target else []))
+@dataclass(frozen=True)
+class Adjacency:
+    """Edges as flat arrays, by source: vertices as rising codes 2 * id + inv, and for each a stretch of targets, costs, and whether it's a change."""
+
+    codes: np.ndarray
+    first: np.ndarray
+    to: np.ndarray
+    cost: np.ndarray
+    change: np.ndarray
+
+    @classmethod
+    def of(cls, edges: DataFrame) -> Adjacency:
+        code = lambda v: F.col(f"{v}.id") * 2 + F.col(f"{v}.inv").cast("int")
+        t = edges.select(code("src").alias("s"), code("dst").alias("d"), "cost", (F.col("relation") != 1).alias("change")).toArrow()
+        s, d, cost, change = (t.column(i).to_numpy() for i in range(4))
+        codes = np.unique(np.concatenate([s, d]))
+        s, d = np.searchsorted(codes, s), np.searchsorted(codes, d)
+        order = np.lexsort((d, s))
+        first = np.searchsorted(s[order], np.arange(len(codes) + 1))
+        return cls(codes, first, d[order].astype(np.int32), cost[order].astype(np.float64), change[order].astype(bool))
+
+
+class Searcher:
+    """Heap searches over an adjacency; plain lists, which a loop reads faster than arrays."""
+
+    def __init__(self, a: Adjacency):
+        self.codes = a.codes.tolist()
+        self.place = dict(zip(self.codes, range(len(self.codes)), strict=True))
+        self.first, self.to, self.cost, self.change = a.first.tolist(), a.to.tolist(), a.cost.tolist(), a.change.tolist()
+
+    def run(self, start: int, goal: int | None, max_cost: float | None, max_hops: int | None, expand_below: float | None):
+        """best: vertex -> (cost, hops, changes, predecessor), and the vertices that are done, in the order of the visit."""
+        first, to, costs, change = self.first, self.to, self.cost, self.change
+        best = {start: (0.0, 1, 0, -1)}
+        heap, done = [(0.0, 1, start)], {}
+        while heap:
+            cost, hops, v = heapq.heappop(heap)
+            if v in done:
+                continue
+            done[v] = True
+            if v == goal:
+                break
+            if (expand_below is not None and cost >= expand_below) or (max_hops is not None and hops >= max_hops):
+                continue
+            changes = best[v][2]
+            for e in range(first[v], first[v + 1]):
+                w = to[e]
+                if w in done:
+                    continue
+                c = cost + costs[e]
+                if max_cost is not None and c > max_cost:
+                    continue
+                new = (c, hops + 1, changes + change[e], v)
+                old = best.get(w)
+                if old is None or new < old:
+                    best[w] = new
+                    if old is None or new[:2] < old[:2]:
+                        heapq.heappush(heap, (c, hops + 1, w))
+        return best, done
+
+
+_searchers: dict[int, Searcher] = {}
+
+
+def _searcher(sent) -> Searcher:
+    """One for each broadcast and worker."""
+    if sent.id not in _searchers:
+        _searchers.clear()
+        _searchers[sent.id] = Searcher(sent.value)
+    return _searchers[sent.id]
+
+
+class _Sent:
+    def __init__(self, spark, a: Adjacency):
+        self.cast = spark.sparkContext.broadcast(a)
+        self.id = int(self.cast._jbroadcast.id())
+
+    @property
+    def value(self) -> Adjacency:
+        return self.cast.value
+
+
+_VT = pa.struct([("id", pa.int64()), ("inv", pa.bool_())])
+
+
+def _vertices(codes: list[int | None]) -> pa.Array:
+    return pa.array([None if c is None else {"id": c >> 1, "inv": bool(c & 1)} for c in codes], _VT)
+
+
+def heap_trees(edges: DataFrame, starts: DataFrame, *, max_cost: float | None = None, max_hops: int | None = None, expand_below: float | None = None) -> DataFrame:
+    """As relax, by a heap for each query."""
+    sent = _Sent(edges.sparkSession, Adjacency.of(edges))
+    shaped = starts.select(F.col("query").cast("long").alias("query"), (F.col("v.id") * 2 + F.col("v.inv").cast("int")).alias("v"))
 
     def run(batches):
-        adj = sent.value
+        s = _searcher(sent)
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                goal = (row["target"]["id"], row["target"]["inv"]) if target else None
-                start = (row["v"]["id"], row["v"]["inv"])
-                best = {start: (0.0, 1, 0, None)}
-                heap, done = [(0.0, 1, start)], set()
-                while heap:
-                    cost, hops, v = heapq.heappop(heap)
-                    if v in done:
-                        continue
-                    done.add(v)
-                    if v == goal:
-                        break
-                    if (expand_below is not None and cost >= expand_below) or (max_hops is not None and hops >= max_hops):
-                        continue
-                    changes = best[v][2]
-                    for w, step, change in adj.get(v, ()):
-                        c = cost + step
-                        if (max_cost is None or c <= max_cost) and w not in done and (w not in best or c < best[w][0]):
-                            best[w] = (c, hops + 1, changes + change, v)
-                            heapq.heappush(heap, (c, hops + 1, w))
-                inner = {best[v][3] for v in done}
-                for v in done:
-                    c, h, n, p = best[v]
-                    out.append((row["query"], {"id": v[0], "inv": v[1]}, c, h, n, None if p is None else {"id": p[0], "inv": p[1]}, v not in inner))
-            vt = pa.struct([("id", pa.int64()), ("inv", pa.bool_())])
-            kinds = (pa.int64(), vt, pa.float64(), pa.int32(), pa.int32(), vt, pa.bool_())
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["query", "v", "cost", "hops", "changes", "pred", "leaf"])
+            for query, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = s.place.get(v)
+                if at is None:  # no edge touches the start
+                    yield pa.RecordBatch.from_arrays([pa.array([query]), _vertices([v]), pa.array([0.0]), pa.array([1], pa.int32()), pa.array([0], pa.int32()), _vertices([None]), pa.array([True])], names=["query", "v", "cost", "hops", "changes", "pred", "leaf"])
+                    continue
+                best, done = s.run(at, None, max_cost, max_hops, expand_below)
+                inner = {best[w][3] for w in done}
+                rows = [(*best[w], w) for w in done]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([query] * len(rows), pa.int64()),
+                        _vertices([s.codes[r[4]] for r in rows]),
+                        pa.array([r[0] for r in rows], pa.float64()),
+                        pa.array([r[1] for r in rows], pa.int32()),
+                        pa.array([r[2] for r in rows], pa.int32()),
+                        _vertices([None if r[3] < 0 else s.codes[r[3]] for r in rows]),
+                        pa.array([r[4] not in inner for r in rows]),
+                    ],
+                    names=["query", "v", "cost", "hops", "changes", "pred", "leaf"],
+                )
 
     return shaped.repartition("query").mapInArrow(run, TREE)
 
 
+def heap_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """(query, cost, path) of requests (query, v, target): each search stops at its target and gives the way it knows."""
+    sent = _Sent(edges.sparkSession, Adjacency.of(edges))
+    code = lambda c: (F.col(f"{c}.id") * 2 + F.col(f"{c}.inv").cast("int")).alias(c)
+    names = requests.select("query").schema["query"].dataType.simpleString()
+    shaped = requests.select("query", code("v"), code("target"))
+
+    def run(batches):
+        s = _searcher(sent)
+        for b in batches:
+            keep, costs, paths = [], [], []
+            for i, (v, t) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
+                if v == t:
+                    keep.append(i), costs.append(0.0), paths.append([v])
+                    continue
+                at, goal = s.place.get(v), s.place.get(t)
+                if at is None or goal is None:
+                    continue
+                best, done = s.run(at, goal, None, None, None)
+                if goal not in done:
+                    continue
+                way, w = [], goal
+                while w >= 0:
+                    way.append(s.codes[w])
+                    w = best[w][3]
+                keep.append(i), costs.append(best[goal][0]), paths.append(way[::-1])
+            ends = np.concatenate([[0], np.cumsum([len(p) for p in paths])]).astype(np.int32)
+            flat = _vertices([v for p in paths for v in p])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64())), pa.array(costs, pa.float64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["query", "cost", "path"])
+
+    return shaped.repartition("query").mapInArrow(run, f"query {names}, cost double, path array<{V}>")
+
+
 def trees(edges: DataFrame, starts: DataFrame, **limits) -> DataFrame:
     """Shortest-path trees with a flag for leaves, by whichever way the number of edges allows."""
-    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
+    if few(edges):
         return heap_trees(edges, starts, **limits)
     t = relax(edges, starts, **limits)
     inner = t.where("pred is not null").select("query", F.col("pred").alias("v")).distinct().withColumn("inner", F.lit(True))
@@ -114,39 +223,48 @@ def reachable_towards(edges: DataFrame, ends: DataFrame, max_cost: float) -> Dat
     return reachable(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "cost", "relation"), ends, max_cost)
 
 
-def walk_back(tree: DataFrame, ends: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """(query, path, pos, v): for each end (query, path, v) of a tree the vertices from the start to it; pos from 0. Doubling: after k rounds 2**k steps are known."""
+def walk_back(tree: DataFrame, ends: DataFrame) -> DataFrame:
+    """(query, path, pos, v): for each end (query, path, v) of a tree the vertices from the start to it; pos from 0. Doubling: round k adds what lies 2**k steps before all that is known, so a path of n vertices takes log2(n) rounds."""
     spark = tree.sparkSession
-    t = tree.select("query", "v", "pred", "hops")
-    path = checkpointed(spark, ends.join(t, ["query", "v"]).select("query", "path", "v", "pred", "hops"))
-    out, front = path, path
-    for _ in range(most):
-        step = front.where("pred is not null").select("query", "path", F.col("pred").alias("v"))
-        if step.isEmpty():
+    path = checkpointed(spark, ends.select("query", "path", "v").join(tree.select("query", "v", "hops"), ["query", "v"]))
+    jump = checkpointed(spark, tree.where("pred is not null").select("query", "v", F.col("pred").alias("to")))
+    hops = tree.select("query", F.col("v").alias("to"), F.col("hops").alias("to_hops"))
+    while not jump.isEmpty():
+        more = path.join(jump, ["query", "v"]).join(hops, ["query", "to"]).select("query", F.col("to").alias("v"), "path", F.col("to_hops").alias("hops"))
+        more = checkpointed(spark, more)
+        if more.isEmpty():
             break
-        front = checkpointed(spark, step.join(t, ["query", "v"]).select("query", "path", "v", "pred", "hops"))
-        out = out.unionByName(front)
-    return out.select("query", "path", (F.col("hops") - 1).alias("pos"), "v")
+        path = path.unionByName(more)
+        jump = checkpointed(spark, jump.join(jump.select("query", F.col("v").alias("to"), F.col("to").alias("to2")), ["query", "to"]).select("query", "v", F.col("to2").alias("to")))
+    return path.select("query", "path", (F.col("hops") - 1).alias("pos"), "v")
+
+
+def few(edges: DataFrame) -> bool:
+    return edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES
 
 
 def shortest_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
-    """(query, cost, path) of requests (query, v, target): path is the array of vertices; requests without a way have no row."""
-    if edges.limit(BROADCAST_EDGES + 1).count() <= BROADCAST_EDGES:
-        tree = heap_trees(edges, requests, target=True)
-    else:
-        tree = relax(edges, requests)
-    tree = checkpointed(edges.sparkSession, tree)
-    ends = requests.select(F.col("query").cast("long").alias("query"), F.col("target").alias("v"), F.lit(0).alias("path"))
+    """(query, cost, path) of requests (query, v, target): path is the array of vertices; requests without a way have no row, those whose target is the start have it alone. query is a key of any type."""
+    if few(edges):
+        return heap_paths(edges, requests)
+    return joined_paths(edges, requests)
+
+
+def joined_paths(edges: DataFrame, requests: DataFrame) -> DataFrame:
+    """The same by rounds of joins."""
+    key = checkpointed(edges.sparkSession, requests.select(F.monotonically_increasing_id().alias("_k"), "query", "v", "target"))
+    tree = checkpointed(edges.sparkSession, relax(edges, key.select(F.col("_k").alias("query"), "v")))
+    ends = key.select(F.col("_k").alias("query"), F.col("target").alias("v"), F.lit(0).alias("path"))
     steps = walk_back(tree, ends)
     found = steps.groupBy("query").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda x: x["v"]).alias("path"))
-    cost = ends.join(tree, ["query", "v"]).select("query", "cost")
-    return cost.join(found, "query")
+    cost = ends.join(tree, ["query", "v"]).select(F.col("query").alias("_k"), "cost")
+    return key.select("_k", "query").join(cost, "_k").join(found.withColumnRenamed("query", "_k"), "_k").select("query", "cost", "path")
 
 
 def shortest_paths_via(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """(query, cost, path) of requests (query, stops: array of vertices): legs between stops in turn, joined; none where a leg has no way."""
     legs = requests.select("query", F.size("stops").alias("n"), F.posexplode(F.expr("arrays_zip(slice(stops, 1, size(stops) - 1), slice(stops, 2, size(stops) - 1))")).alias("leg", "ab"))
-    legs = legs.select("query", "n", "leg", F.col("ab.0").alias("v"), F.col("ab.1").alias("target")).withColumn("key", F.col("query") * 1000 + F.col("leg"))
+    legs = legs.select("query", "n", "leg", F.col("ab.0").alias("v"), F.col("ab.1").alias("target")).withColumn("key", F.struct("query", "leg"))
     got = shortest_paths(edges, legs.select(F.col("key").alias("query"), "v", "target")).withColumnRenamed("query", "key")
     j = legs.join(got, "key").groupBy("query", "n").agg(F.sum("cost").alias("cost"), F.count("*").alias("found"), F.array_sort(F.collect_list(F.struct("leg", "path"))).alias("parts"))
     joined = F.flatten(F.transform("parts", lambda p: F.when(p["leg"] == 0, p["path"]).otherwise(F.slice(p["path"], F.lit(2), F.size(p["path"])))))

@@ -8,15 +8,13 @@ Crowded cells are what AQE splits: both sides come from plain exchanges.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..errors import NoSuchPrimitiveError
 from ..functions import boxes as B
 from ..functions import polylines as P
-from ..functions import shapes as S
+from ..functions.geometry import rings_overlap
 
 
 def lookup(layer: DataFrame, i: int) -> DataFrame:
@@ -60,43 +58,43 @@ def within(objects: DataFrame, shapes: DataFrame, radius: float, distance: Colum
     return box_pairs(objects, shapes, cell, radius).withColumn("distance", distance).where(F.col("distance") <= radius)
 
 
-def knn(objects: DataFrame, shapes: DataFrame, n: int, distance: Column, *, key: str, other: str, cell: float, rings: int = 24) -> DataFrame:
+def knn(objects: DataFrame, shapes: DataFrame, n: int, distance: Column, *, key: str, other: str, cell: float) -> DataFrame:
     """For each object the n nearest shapes by exact distance, ties by their id.
 
-    The search radius doubles from one cell; an object is done once n shapes lie
-    within its radius, or once the radius covers all there is. So the grid only
-    bounds how many are tried at a time, never the answer.
+    The search radius starts at one cell and grows fourfold; an object is done
+    once n shapes lie within its radius, or once the radius covers all there is.
+    So the grid only bounds how many are tried at a time, never the answer. What
+    a round has found and who is still open is written out, so no round is
+    computed twice.
     """
+    from .graph import checkpointed
+
+    spark = objects.sparkSession
     o, s = objects.agg(*_extent("abox")).first(), shapes.agg(*_extent("bbox")).first()
     if o[0] is None or s[0] is None:
-        return within(objects, shapes, 0.0, distance, cell).limit(0)
+        return within(objects, shapes, 0.0, distance, cell).limit(0).withColumn("rank", F.lit(0))
     span = max(max(o[2], s[2]) - min(o[0], s[0]), max(o[3], s[3]) - min(o[1], s[1])) + cell
+    shapes = checkpointed(spark, shapes)
     rank = Window.partitionBy(key).orderBy("distance", other)
     radius, open_, out = cell, objects, None
-    for _ in range(rings):
+    while True:
         last = radius >= 2 * span
         got = within(open_, shapes, radius, distance, max(cell, radius)).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= n)
-        done = got if last else got.join(got.groupBy(key).count().where(F.col("count") >= n).select(key), key, "left_semi")
+        got = checkpointed(spark, got.withColumn("_n", F.count("*").over(Window.partitionBy(key))))
+        done = (got if last else got.where(F.col("_n") >= n)).drop("_n")
         out = done if out is None else out.unionByName(done)
         if last:
-            break
-        open_ = open_.join(done.select(key).distinct(), key, "left_anti")
+            return out
+        open_ = checkpointed(spark, open_.join(done.where("rank = 1").select(key), key, "left_anti"))
         if open_.isEmpty():
-            break
+            return out
         radius *= 4
-    return out
 
 
 def _extent(box: str) -> list[Column]:
     return [F.min(f"{box}.xmin"), F.min(f"{box}.ymin"), F.max(f"{box}.xmax"), F.max(f"{box}.ymax")]
 
 
-@F.arrow_udf(BooleanType())
-def rings_overlap(a: pa.Array, b: pa.Array) -> pa.Array:
-    """Whether the interiors of two rings meet."""
-    return pa.array([S.overlaps([(p["x"], p["y"]) for p in x], [(p["x"], p["y"]) for p in y]) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
-
-
 def overlapping_pairs(rings: DataFrame, cell: float = 25.0) -> DataFrame:
     """(a, b), a < b, of rings (id, ring) that overlap. Pairs that share a border only are sorted out by the exact test; rings that are parted along an axis never reach it."""
     flat = rings.select("id", "ring", P.box(F.col("ring")).alias("box"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import InvalidInputError, RoadMapError
 from ..functions import attributes as A
 from ..functions import polylines as P
 from ..model import RoadMap, with_points
@@ -103,28 +104,59 @@ MAP_CHECKS: dict[str, Callable[[RoadMap], DataFrame]] = {
     "mapping.duplicated_points": duplicated_points,
     "mapping.points_too_close": points_too_close,
 }
+RULE_CHECKS: dict[str, Callable[[RoadMap, R.Rules], DataFrame]] = {}
 GRAPH_CHECKS: dict[str, Callable[[G.Graph], DataFrame]] = {"routing.graph_is_valid": G.problems}
+_KINDS = {"map": MAP_CHECKS, "rules": RULE_CHECKS, "graph": GRAPH_CHECKS}
+
+
+def register(name: str, check: Callable[..., DataFrame], kind: str = "map") -> None:
+    """Adds a check: of a map, of a map under a rule set (called for each participant), or of a graph. It gives the columns of ISSUES; a name that is taken is an error."""
+    if kind not in _KINDS:
+        raise InvalidInputError(f"no kind of check {kind!r}; there are {', '.join(_KINDS)}")
+    if any(name in checks for checks in _KINDS.values()):
+        raise InvalidInputError(f"there is a check {name} already")
+    _KINDS[kind][name] = check
+
+
+def unregister(name: str) -> None:
+    for checks in _KINDS.values():
+        checks.pop(name, None)
 
 
 def available(pattern: str = "") -> list[str]:
     """Names of checks that a comma-separated list of patterns matches whole, in any case; all for an empty one."""
-    names = sorted([*MAP_CHECKS, *GRAPH_CHECKS])
+    names = sorted(n for checks in _KINDS.values() for n in checks)
     wanted = [p for p in pattern.split(",") if p]
     return [n for n in names if not wanted or any(re.fullmatch(p, n, re.IGNORECASE) for p in wanted)]
 
 
 def validate(m: RoadMap, *, checks: str = "", location: str = "de", participants: tuple[str, ...] = ()) -> DataFrame:
-    """All issues that the chosen checks find; checks of the graph run for each participant."""
+    """All issues that the chosen checks find; checks of rules and of the graph run for each participant. A graph that can't be built is an issue itself."""
     names = available(checks)
     parts = [f(m) for n, f in MAP_CHECKS.items() if n in names]
     for who in participants:
+        rules = R.create(location, who)
+        parts += [f(m, rules) for n, f in RULE_CHECKS.items() if n in names]
         some = [f for n, f in GRAPH_CHECKS.items() if n in names]
         if some:
-            g = G.build(m, R.create(location, who))
-            parts += [f(g) for f in some]
+            try:
+                g = G.build(m, rules)
+            except RoadMapError as e:
+                parts.append(m.points.sparkSession.createDataFrame([("general", "Error", "Map", 0, str(e))], ISSUES))
+            else:
+                parts += [f(g) for f in some]
     return _union(parts) if parts else m.points.sparkSession.createDataFrame([], ISSUES)
 
 
+def validate_file(spark, path: str, *, projector=None, **options) -> DataFrame:
+    """Issues of a map file: what its reading found wrong, as issues of the check "general", then those of validate."""
+    from ..sources import osm
+
+    got = osm.load(spark, path, projector, strict=False)
+    broken = got.errors.select(F.lit("general").alias("check_name"), F.lit("Error").alias("severity"), F.col("kind").alias("primitive"), "id", "message")
+    return broken.unionByName(validate(got.map, **options))
+
+
 def report(issues: DataFrame) -> DataFrame:
     """(check_name, severity, n, messages) of errors and warnings; notes are left out."""
     text = F.concat_ws(" ", F.concat("severity", F.lit(":")), "primitive", F.col("id").cast("string"), "message")

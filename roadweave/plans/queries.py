@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import boxes as B
 from ..functions import polylines as P
+from ..functions.flat import line_distance
 from ..model import directed, with_bounds
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators import rules as R
 from ..operators import search as S
 from ..operators import spatial as SP
+from ..operators import usages as U
 from ..operators import validation as V
 from . import synth
 
@@ -123,20 +125,19 @@ def points_of_lines(spark: SparkSession, sf: str) -> DataFrame:
 def line_usages(spark: SparkSession, sf: str) -> DataFrame:
     """Lanes, in either direction, that have a line as a bound in the line's own direction."""
     m = synth.road_map(spark, sf)
-    own = directed(m.lanelets).select(F.col("id").alias("lane_id"), "inv", F.explode(F.array("left", "right")).alias("k"))
-    return m.linestrings.select(F.struct("id", F.lit(False).alias("inv")).alias("k"), F.col("id").alias("line_id")).join(own, "k").select("line_id", "lane_id", "inv")
+    asked = m.linestrings.select(F.struct("id", F.lit(False).alias("inv")).alias("ref"))
+    return U.of_lines(m, asked).where("kind = 'lanelet'").select(F.col("ref.id").alias("line_id"), F.col("owner_id").alias("lane_id"), "inv")
 
 
 @query("SELECT DISTINCT q.point_id, v.id AS lane_id FROM (SELECT id, p0 AS point_id FROM synth_line UNION ALL SELECT id, p1 FROM synth_line) q JOIN synth_lane v ON q.id = v.left_id OR q.id = v.right_id")
 def point_usages(spark: SparkSession, sf: str) -> DataFrame:
     m = synth.road_map(spark, sf)
-    own = m.lanelets.select(F.col("id").alias("lane_id"), F.explode(F.array("left.id", "right.id")).alias("id"))
-    return m.linestrings.select("id", F.explode("point_ids").alias("point_id")).join(own, "id").select("point_id", "lane_id").distinct()
+    return U.lanes_with_points(m, m.points)
 
 
 @query("SELECT regelem_id, count(*) AS n, min(id) AS first_lane FROM synth_lane WHERE regelem_id IS NOT NULL GROUP BY regelem_id")
 def regelem_usages(spark: SparkSession, sf: str) -> DataFrame:
-    return synth.road_map(spark, sf).lanelets.select("id", F.explode("regelem_ids").alias("regelem_id")).groupBy("regelem_id").agg(F.count("*").alias("n"), F.min("id").alias("first_lane"))
+    return U.of_regelems(synth.road_map(spark, sf)).groupBy("regelem_id").agg(F.count("*").alias("n"), F.min("owner_id").alias("first_lane"))
 
 
 @query("SELECT a.id AS src, a.inv AS src_inv, b.id AS dst, b.inv AS dst_inv FROM synth_end a JOIN synth_end b ON a.ll = b.lf AND a.rl = b.rf")
@@ -286,7 +287,7 @@ def _line_distance() -> str:
 , near AS (
   SELECT o.object_id, l.id, o.x, o.y, l.x0, l.y0, l.x1, l.y1,
          ((o.x - l.x0) * (l.x1 - l.x0) + (o.y - l.y0) * (l.y1 - l.y0)) / ((l.x1 - l.x0) ^ 2 + (l.y1 - l.y0) ^ 2) AS t
-  FROM obj o JOIN synth_line l ON l.road = floor(o.y / 100) AND abs(l.x0 + 5 - o.x) <= 40 WHERE o.object_id % 10 = 0),
+  FROM obj o JOIN synth_line l ON l.road = floor(o.y / 100) AND abs(l.x0 + 5 - o.x) <= 40),
 dist AS (
   SELECT object_id, id, sqrt((x0 + (x1 - x0) * least(1, greatest(0, t)) - x) ^ 2 + (y0 + (y1 - y0) * least(1, greatest(0, t)) - y) ^ 2) AS d FROM near)"""
 
@@ -295,23 +296,19 @@ def objects(spark: SparkSession, sf: str) -> DataFrame:
     return synth.objects(spark, sf).withColumn("abox", F.struct(F.col("x").alias("xmin"), F.col("y").alias("ymin"), F.col("x").alias("xmax"), F.col("y").alias("ymax")))
 
 
-def _tenth(spark: SparkSession, sf: str) -> DataFrame:
-    return objects(spark, sf).where("object_id % 10 = 0")
-
-
-@query(_OBJECTS + _line_distance().replace("WHERE o.object_id % 10 = 0", "") + " SELECT object_id, id, round(d, 6) AS distance FROM dist WHERE d <= 3")
+@query(_OBJECTS + _line_distance() + " SELECT object_id, id, round(d, 6) AS distance FROM dist WHERE d <= 3")
 def lines_within(spark: SparkSession, sf: str) -> DataFrame:
     """Range join of all objects and lines."""
     s = lines(spark, sf).select("id", "pts", P.box(F.col("pts")).alias("bbox"))
-    d = P.distance_to(F.col("pts"), F.struct("x", "y", F.lit(0.0).alias("z")))
+    d = line_distance("pts", "x", "y")
     return SP.within(objects(spark, sf), s, 3.0, d, 10.0).select("object_id", "id", r6(F.col("distance")).alias("distance"))
 
 
-@query(_OBJECTS + _line_distance().replace("WHERE o.object_id % 10 = 0", "") + " SELECT object_id, id, n FROM (SELECT object_id, id, row_number() OVER (PARTITION BY object_id ORDER BY round(d, 9), id) AS n FROM dist) WHERE n <= 3")
+@query(_OBJECTS + _line_distance() + " SELECT object_id, id, n FROM (SELECT object_id, id, row_number() OVER (PARTITION BY object_id ORDER BY round(d, 9), id) AS n FROM dist) WHERE n <= 3")
 def nearest_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Three nearest lines of every object, by exact distance."""
     s = lines(spark, sf).select("id", "pts", P.box(F.col("pts")).alias("bbox"))
-    d = F.round(P.distance_to(F.col("pts"), F.struct("x", "y", F.lit(0.0).alias("z"))), 9)
+    d = F.round(line_distance("pts", "x", "y"), 9)
     return SP.knn(objects(spark, sf), s, 3, d, key="object_id", other="id", cell=10.0).select("object_id", "id", F.col("rank").alias("n"))
 
 
@@ -334,18 +331,6 @@ def matched_lanes(spark: SparkSession, sf: str) -> DataFrame:
     return match(spark, sf).select("object_id", "lane_id", "inv", r6(F.col("distance")).alias("distance"))
 
 
-@query()
-def likely_lanes(spark: SparkSession, sf: str) -> DataFrame:
-    one = lambda v: F.lit(float(v))
-    o = synth.objects(spark, sf).withColumn("cov", F.struct(one(0.5).alias("xx"), one(0).alias("xy"), one(0).alias("yx"), one(0.25).alias("yy"))).withColumn("kappa", one(2))
-    return M.probabilistic(o, M.lane_shapes(lanes(spark, sf)), 0.5).select("object_id", "lane_id", "inv", "rank", F.round("mahalanobis", 4).alias("mahalanobis"))
-
-
-@query()
-def lawful_matches(spark: SparkSession, sf: str) -> DataFrame:
-    return M.compliant(match(spark, sf), G.passable(synth.road_map(spark, sf), CAR)).select("object_id", "lane_id", "inv", r6(F.col("distance")).alias("distance"))
-
-
 # ---- graph ------------------------------------------------------------------------------------------------------
 
 _EDGES = (
@@ -415,14 +400,6 @@ def reachable_sets_by_joins(spark: SparkSession, sf: str) -> DataFrame:
     return S.relax(edges, starts(spark, sf, 40), max_cost=60.0).select("query", code("v").alias("v"), F.round("cost", 5).alias("cost"))
 
 
-@query(_EDGES + _REACH.format(every=2, most=100) + " SELECT query, round(cost, 4) AS cost FROM reach WHERE v = (query + 8) * 2")
-def shortest_path_costs(spark: SparkSession, sf: str) -> DataFrame:
-    """From every other lane to the one two stations on."""
-    g = car_graph(spark, sf, costs=(G.Cost("distance", 10.0),), conflicts=False)
-    q = starts(spark, sf, 2).withColumn("target", F.struct((F.col("query") + 8).alias("id"), F.lit(False).alias("inv")))
-    return S.shortest_paths(g.view(DRIVE), q).where("cost <= 100").select("query", F.round("cost", 4).alias("cost"))
-
-
 @query()
 def possible_paths(spark: SparkSession, sf: str) -> DataFrame:
     g = car_graph(spark, sf, costs=(G.Cost("distance", 10.0),), conflicts=False)
@@ -430,20 +407,9 @@ def possible_paths(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("query", F.round("cost", 5).alias("cost"), F.size("path").alias("n"), F.transform("path", lambda v: v["id"] * 2 + v["inv"].cast("int")).alias("path"))
 
 
-@query()
-def graph_problems(spark: SparkSession, sf: str) -> DataFrame:
-    return G.problems(car_graph(spark, sf, costs=(G.Cost("distance", 10.0),), conflicts=False))
-
-
 # ---- validation -------------------------------------------------------------------------------------------------
 
 
-@query("SELECT 'mapping.points_too_close' AS check_name, 0 AS n WHERE false")
-def map_issues(spark: SparkSession, sf: str) -> DataFrame:
-    """The synthetic map is sound."""
-    return V.report(V.validate(synth.road_map(spark, sf), checks="mapping.*")).select("check_name", F.col("n").cast("int").alias("n"))
-
-
 @query("SELECT id, 'lacks subtype' AS message FROM synth_lane WHERE p_size % 10 = 7")
 def missing_tags(spark: SparkSession, sf: str) -> DataFrame:
     """A tenth of the lanes without their subtype."""
@@ -452,3 +418,6 @@ def missing_tags(spark: SparkSession, sf: str) -> DataFrame:
     part = synth.table(spark, sf, "part").select((F.col("p_partkey") + 1).alias("id"), (F.col("p_size") % 10).alias("subtype_key"))
     lost = m.with_(lanelets=m.lanelets.join(part, "id").withColumn("attrs", cut).drop("subtype_key"))
     return V.validate(lost, checks="mapping.mandatory_tags").select("id", "message")
+
+
+from . import route_queries, shape_queries  # noqa: E402, F401  they add theirs

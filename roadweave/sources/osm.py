@@ -232,30 +232,40 @@ _READERS = {".osm": lambda spark, path, **o: read(spark, path, **o), ".bin": lam
 _WRITERS = {".osm": write, ".bin": lambda m, path, projector=None, **o: write_layers(m, path)}
 
 
+_NAMES = {"osm_handler": ".osm", "bin_handler": ".bin"}
+
+
 def supported() -> dict[str, list[str]]:
     return {"readers": sorted(_READERS), "writers": sorted(_WRITERS)}
 
 
-def register(extension: str, *, reader=None, writer=None) -> None:
+def register(extension: str, *, reader=None, writer=None, name: str | None = None) -> None:
+    """Adds a reader or a writer by the files' extension, and by a name where one is given."""
+    if name:
+        _NAMES[name] = extension
     if reader:
         _READERS[extension] = reader
     if writer:
         _WRITERS[extension] = writer
 
 
-def load(spark: SparkSession, path: str, projector: Projector | None = None, *, strict: bool = True) -> Loaded:
-    """By the file's extension; strict raises what it finds broken, else it is in errors."""
-    ext = os.path.splitext(path)[1]
-    if ext not in _READERS:
-        raise InvalidInputError(f"no reader for {ext!r}; there are {', '.join(sorted(_READERS))}")
+def _kind(path: str, name: str | None, known: dict, what: str) -> str:
+    if name is not None and name not in _NAMES:
+        raise InvalidInputError(f"no {what} {name!r}; there are {', '.join(sorted(_NAMES))}")
+    ext = _NAMES[name] if name is not None else os.path.splitext(path)[1]
+    if ext not in known:
+        raise InvalidInputError(f"no {what} for {ext!r}; there are {', '.join(sorted(known))}")
+    return ext
+
+
+def load(spark: SparkSession, path: str, projector: Projector | None = None, *, strict: bool = True, parser: str | None = None) -> Loaded:
+    """By the file's extension, or by a parser's name; strict raises what it finds broken, else it is in errors."""
+    ext = _kind(path, parser, _READERS, "reader")
     return _READERS[ext](spark, path, **({"projector": projector, "strict": strict} if ext == ".osm" else {}))
 
 
-def save(m: RoadMap, path: str, projector: Projector | None = None, **options) -> None:
-    ext = os.path.splitext(path)[1]
-    if ext not in _WRITERS:
-        raise InvalidInputError(f"no writer for {ext!r}; there are {', '.join(sorted(_WRITERS))}")
-    _WRITERS[ext](m, path, projector, **options)
+def save(m: RoadMap, path: str, projector: Projector | None = None, *, writer: str | None = None, **options) -> None:
+    _WRITERS[_kind(path, writer, _WRITERS, "writer")](m, path, projector, **options)
 
 
 __all__ = ["Loaded", "aligned", "along", "chain", "flip", "load", "read", "read_layers", "register", "save", "supported", "write", "write_layers"]
