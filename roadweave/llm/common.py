@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .kernels import trim
@@ -90,10 +90,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def quoted(name: str) -> F.Column:
+    """The column of that very name, whatever signs it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> F.Column:
+    """All of a row as one struct `row`, so that no name of the caller's meets one of an operator's; select("row.*") unpacks it."""
+    return F.struct(*[quoted(c) for c in docs.columns]).alias("row")
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long, text string, and nothing else: other columns never reach an operator, so their names can't clash."""
     lean(docs.sparkSession)
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
 
 
 def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -115,24 +125,34 @@ def learn_split(id_col: str, mod: int) -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % mod
 
 
-NARROW_BITS = 23
+NARROW_BITS = (16, 26)
 
 
-def narrow(df: DataFrame, ids: DataFrame, bits: int = NARROW_BITS) -> DataFrame:
-    """Rows of df whose doc_id may be among ids, before any shuffle: a hashed bitmap of 2**bits places (at most 2**(bits - 6) rows of 16 bytes, so its broadcast is bounded at any scale). Keeps every row asked for, and some others; null ids never match."""
+def narrow(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of df whose doc_id may be among ids, before any shuffle: by a hashed bitmap of eight places an id, within 2**16 and 2**26 places (its broadcast has at most 2**20 rows of 16 bytes at any scale; a fuller bitmap lets more rows through). Keeps every row asked for, and some others; null ids never match."""
+    ids = ids.where("id is not null")
+    bits = min(max((8 * ids.count()).bit_length(), NARROW_BITS[0]), NARROW_BITS[1])
     place = lambda c: F.xxhash64(c).bitwiseAND(2**bits - 1)
     words = (
-        ids.where("id is not null")
-        .select(place(F.col("id")).alias("p"))
+        ids.select(place(F.col("id")).alias("p"))
         .distinct()
         .groupBy(F.shiftright("p", 6).alias("_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
     )
-    names = df.columns
-    return (
-        df.withColumn("_p", place(F.col("doc_id")))
-        .withColumn("_word", F.shiftright("_p", 6))
-        .join(F.broadcast(words), "_word")
-        .where("(shiftrightunsigned(_bits, cast(_p & 63 as int)) & 1) = 1")
-        .select(*names)
-    )
+    at = F.struct(place(F.col("doc_id")).alias("p"))
+    row = df.select(packed(df), at.alias("_at")).withColumn("_word", F.shiftright("_at.p", 6))
+    return row.join(F.broadcast(words), "_word").where("(shiftrightunsigned(_bits, cast(_at.p & 63 as int)) & 1) = 1").select("row.*")
+
+
+def numbered(df: DataFrame, order: F.Column, where: str) -> DataFrame:
+    """df with `k`, the place of each row in the order, from 0, and `range`, the sorted range that it lies in. No task sees all rows: ranges are sorted each by itself, and only their numbers of rows are added up together."""
+    ranged = df.repartitionByRange(shuffle_parts(df.sparkSession), order).withColumn("range", F.spark_partition_id())
+    ranged = settle(ranged, where).withColumn("_n", F.row_number().over(Window.partitionBy("range").orderBy(order)) - 1)
+    return before_ranges(ranged, F.lit(1), "_base").withColumn("k", F.col("_base") + F.col("_n")).drop("_base", "_n")
+
+
+def before_ranges(ranged: DataFrame, value: F.Column, name: str) -> DataFrame:
+    """Adds the sum of value over all ranges before a row's own."""
+    per = ranged.groupBy(F.col("range").alias("_r")).agg(F.sum(value).cast("long").alias("_v"))  # a row for each range
+    per = per.select("_r", F.coalesce(F.sum("_v").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long").alias(name))
+    return ranged.join(F.broadcast(per), F.col("range") == F.col("_r")).drop("_r")

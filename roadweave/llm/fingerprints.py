@@ -153,7 +153,8 @@ def compare(docs: DataFrame, *, k: int = SHINGLE, size: int = SIZE) -> DataFrame
 
     The order is that of doc_id, null ids first, rows of one id by a hash of
     their text; the last document's next is the first, also where it is the only
-    one. Null texts are as empty ones; an empty table gives an empty result.
+    one. Null texts are as empty ones; very long texts are fingerprinted whole;
+    an empty table gives an empty result; other columns of docs are not looked at.
     """
     spark: SparkSession = docs.sparkSession
 

@@ -5,8 +5,12 @@ A document's set is its distinct word shingles. Documents are linked where
 component. The steps:
 
 1.  One pass gives each document a fingerprint of its set, MinHash samples
-    folded into band keys, and an odd sketch: the samples' parity bitmap, whose
-    XOR population counts estimate high similarities.
+    folded into band keys, and an odd sketch: the parity bitmap of its bottom
+    MinHash sample (the SAMPLE least hashes), so that the population count of
+    two sketches' XOR tells how much their samples differ. Sets of up to SAMPLE
+    shingles are their own sample, and the count can't exceed their symmetric
+    difference: there the sketch loses no link at all, and parts similarities
+    of 0.85 and 0.83. For longer ones its limit is missed with about 1e-7.
 2.  Equal sets become one node (a grouped aggregate with map-side combining),
     so groups of exact copies cost nothing later on.
 3.  Nodes that share a band key meet in a bucket. Each bucket draws a centre;
@@ -14,33 +18,36 @@ component. The steps:
     So a bucket of m nodes gives m pairs, not m * m. Links found so make
     components (large-star / small-star rounds), and buckets that still hold
     several draw again, a few times.
-4.  In buckets that hold several components even then, nodes outside the centre's component
-    are compared with all nodes of other components: sketches inside the join's
-    condition, then the full sets. So no pair within a bucket goes untried but
-    those already connected.
-5.  Each pair is confirmed on the full sets of both whole texts.
+4.  In buckets that hold several components even then, sketches of nodes of
+    different components are compared inside the join's condition; only pairs
+    that they allow leave it. So no pair within a bucket goes untried but those
+    already connected.
+5.  Each pair is confirmed on the full sets. A node's set is made once, from the
+    whole text of a document that has it, and joined by node.
 
 With 32 bands of 5 samples, a pair at similarity 0.85 shares no bucket with
-probability 7e-9; its sketch lies beyond the filter's limit with about 1e-7.
+probability 7e-9.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import keyed, narrow, per_batch, settle, shared_dir
+from .common import keyed, narrow, packed, per_batch, settle, shared_dir
 
-BANDS, ROWS, SKETCH_BITS = 32, 5, 512
+BANDS, ROWS, SAMPLE, SKETCH_BITS = 32, 5, 1024, 1024
 STAR_ROUNDS = 3
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
 
-SIGNATURES = "doc_id long, n_shingles long, fp long, bands array<long>, odd array<long>"
+SIGNATURES = "doc_id long, tie long, n_shingles long, fp long, bands array<long>, odd array<long>"
 
 
 def sets_of(column: pa.Array, k: int):
@@ -83,33 +90,39 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def odd_sketch(m: np.ndarray) -> np.ndarray:
-    """Rows of samples -> rows of 64-bit words of the parity bitmap."""
-    n = len(m)
-    at = K.mix64(m.astype(np.uint64) + (np.arange(m.shape[1], dtype=np.uint64) << K.U64(32))) % K.U64(SKETCH_BITS)
-    at = at.astype(np.int64) + np.arange(n)[:, None] * SKETCH_BITS
-    bits = (np.bincount(at.ravel(), minlength=n * SKETCH_BITS) & 1).astype(np.uint8)
-    return np.packbits(bits.reshape(n, SKETCH_BITS), axis=1).view(np.int64)
+def odd_sketch(u: np.ndarray) -> np.ndarray:
+    """Of a sorted set: 64-bit words of the parity bitmap of its SAMPLE least hashes, each at the place that its low bits name."""
+    at = (u[:SAMPLE] & K.U64(SKETCH_BITS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
 def sketch_limit(percent: int) -> int:
-    """XOR population count beyond which a pair at `percent` lies with a probability of about 1e-7."""
-    k = BANDS * ROWS
+    """XOR population count beyond which two sets longer than SAMPLE lie at `percent` with a probability of about 1e-7: the samples' difference at `percent`, and 5.3 deviations of sampling and of parity."""
     miss = 1 - percent / 100
-    most = k * miss + 5.3 * np.sqrt(k * miss * (1 - miss))
-    return int(np.ceil(SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * most)))) + 4
+    differ = 2 * SAMPLE * miss
+    stay = np.exp(-2 * differ / SKETCH_BITS)
+    odd = (1 - stay) / 2
+    spread = np.sqrt((2 * stay) ** 2 * SAMPLE * miss * (1 - miss) + SKETCH_BITS * odd * (1 - odd))
+    return int(np.ceil(SKETCH_BITS * odd + 5.3 * spread))
+
+
+def near(percent: int, far: str) -> str:
+    """SQL condition on x.n, y.n and the XOR population count far: the pair may be linked."""
+    whole = f"{far} * {100 + percent} <= {100 - percent} * (x.n + y.n)"
+    return f"case when greatest(x.n, y.n) <= {SAMPLE} then {whole} else {far} <= {sketch_limit(percent)} end"
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, and of texts with a word the set's print, band keys and odd sketch."""
+    """doc_id, a hash of the text, n_shingles, and of texts with a word the set's print, band keys and odd sketch."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        n, fp, rows, at = [], [], [], []
+        n, fp, rows, odd, at = [], [], [], [], []
         for i, u in enumerate(sets_of(b.column(1), k)):
             n.append(len(u))
             fp.append(set_print(u) if len(u) else None)
             if len(u):
                 rows.append(minhash(u))
+                odd.append(odd_sketch(u))
                 at.append(i)
         m = np.array(rows, np.uint32).reshape(len(rows), len(_A))
         full = np.zeros(b.num_rows, bool)
@@ -119,31 +132,64 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             off = np.concatenate([[0], np.cumsum(full * x.shape[1])]).astype(np.int32)
             return pa.ListArray.from_arrays(pa.array(off), pa.array(x.ravel()))
 
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), lists(band_keys(m)), lists(odd_sketch(m))], names=["doc_id", "n_shingles", "fp", "bands", "odd"])
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(fp, pa.int64()), lists(band_keys(m)), lists(np.array(odd, np.int64).reshape(len(odd), SKETCH_BITS // 64))], names=["doc_id", "tie", "n_shingles", "fp", "bands", "odd"])
 
-    return keyed(docs).mapInArrow(per_batch(run), SIGNATURES)
+    return keyed(docs).withColumn("tie", F.xxhash64("text")).mapInArrow(per_batch(run), SIGNATURES)
 
 
-def confirm(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, label_a, b, label_b) those linked on the full sets. Texts are fetched by label, the id of a document that has the set; only documents whose ids are asked for are moved."""
-    labels = pairs.select(F.col("label_a").alias("id")).union(pairs.select("label_b"))
-    texts = narrow(keyed(docs), labels)
-    found = pairs.join(texts.select(F.col("doc_id").alias("label_a"), F.col("text").alias("text_a")), "label_a").join(texts.select(F.col("doc_id").alias("label_b"), F.col("text").alias("text_b")), "label_b").select("a", "b", "text_a", "text_b")
+def node_sets(docs: DataFrame, labels: DataFrame, k: int) -> DataFrame:
+    """(node, hashes) of the sets of documents whose ids are among labels (and of some others): one row a node, made where the texts lie and combined before the shuffle."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        a_ids, b_ids = b.column(0).to_numpy(), b.column(1).to_numpy()
-        keep = []
-        for i, (x, y) in enumerate(zip(sets_of(b.column(2), k), sets_of(b.column(3), k), strict=True)):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both) and set_print(x) == a_ids[i] and set_print(y) == b_ids[i]:
-                keep.append(i)
-        return b.select([0, 1]).take(pa.array(keep, pa.int64()))
+        got = [u for u in sets_of(b.column(1), k) if len(u)]
+        return pa.RecordBatch.from_arrays([pa.array([set_print(u) for u in got], pa.int64()), pa.array([u.tobytes() for u in got], pa.binary())], names=["node", "hashes"])
+
+    return narrow(keyed(docs), labels).mapInArrow(per_batch(run), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+
+class Sets:
+    """The hash sets of nodes, made when a pair first asks for them and kept in the shared folder."""
+
+    def __init__(self, docs: DataFrame, k: int, percent: int, where: str):
+        self.docs, self.k, self.percent, self.where, self.made = docs, k, percent, where, []
+
+    def _fetch(self, pairs: DataFrame) -> DataFrame:
+        asked = pairs.select(F.col("a").alias("node"), F.col("label_a").alias("id")).union(pairs.select("b", "label_b")).distinct()
+        for have in self.made:
+            asked = asked.join(have.select("node"), "node", "left_anti")
+        at = f"{self.where}/sets-{len(self.made)}"
+        asked = settle(asked, f"{at}-asked")
+        if not asked.isEmpty():
+            self.made.append(settle(node_sets(self.docs, asked.select("id"), self.k).join(asked.select("node"), "node", "left_semi"), at))
+        out = None
+        for have in self.made:
+            out = have if out is None else out.unionByName(have)
+        return out
 
-    return found.mapInArrow(per_batch(run), "a long, b long").distinct()
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """Of pairs (a, label_a, b, label_b) of nodes those linked on the full sets; a label is the id of a document that has the set."""
+        sets, percent = self._fetch(pairs), self.percent
+        if sets is None:
+            return pairs.select("a", "b").limit(0)
+        found = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            keep = []
+            for i in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    keep.append(i)
+            return b.select([0, 1]).take(pa.array(keep, pa.int64()))
 
-def components(edges: DataFrame, where: str, rounds: int = 60) -> DataFrame:
-    """(node, root) of all nodes that an edge (a, b) touches; root: the component's smallest node. Alternates large-star and small-star, each round written to the shared folder."""
+        return found.mapInArrow(per_batch(run), "a long, b long").distinct()
+
+
+SMALL_ROWS = 500_000
+
+
+def components(edges: DataFrame, where: str) -> DataFrame:
+    """(node, root) of all nodes that an edge (a, b) touches; root: the component's smallest node. Alternates large-star and small-star until nothing changes, each round written to the shared folder. Nodes' minima are sent to all workers where there are few edges (SMALL_ROWS of them at most: 8 MB); beyond that they are written first and joined, so that a node of very many edges is a plain skewed side, which adaptive execution splits."""
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), f"{where}/0")
 
     def state(x: DataFrame) -> tuple:
@@ -151,37 +197,44 @@ def components(edges: DataFrame, where: str, rounds: int = 60) -> DataFrame:
         return (r[0], r[1])
 
     last = state(e)
-    for i in range(1, rounds):
+    for i in itertools.count(1):
+        few = last[0] <= SMALL_ROWS
+
+        def side(df: DataFrame, name: str) -> DataFrame:
+            return F.broadcast(df) if few else settle(df, f"{where}/{i}-{name}")  # noqa: B023
+
         both = e.select("u", "v").union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = side(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), "low")
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = settle(large, f"{where}/{i}-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+        small = large.join(side(least, "least"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
         e = settle(small.distinct(), f"{where}/{i}")
         now = state(e)
         if now == last:
             break
         last = now
-    else:
-        raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
-_NEAR = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(SKETCH_BITS // 64))
+_FAR = " + ".join(f"bit_count(x.odd[{i}] ^ y.odd[{i}])" for i in range(SKETCH_BITS // 64))
 
 
 def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs.
 
     Texts without a word (null, empty, white space) have n_shingles 0 and are
-    linked with nothing. Rows with equal sets are one component. Rows that share
-    a doc_id keep one row each. A null id never names a component: its row's
-    component_id is the smallest other id, or null if there is none. An empty
-    table gives an empty result.
+    linked with nothing. Very long texts are taken whole. Rows with equal sets
+    are one component. Rows that share a doc_id keep one row each. A null id
+    never names a component: its row's component_id is the smallest other id, or
+    null if there is none. An empty table gives an empty result; other columns
+    of docs are not looked at.
     """
-    spark: SparkSession = docs.sparkSession
-    where = where or shared_dir(spark, "neardup")
-    limit = sketch_limit(percent)
+    return _grouped(docs, k, percent, where or shared_dir(docs.sparkSession, "neardup")).drop("tie")
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, where: str) -> DataFrame:
+    """As groups, with tie, a hash of the text."""
     ratio = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     sig = settle(signatures(docs, k), f"{where}/signatures")
     reps = settle(
@@ -193,6 +246,7 @@ def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None
     buckets = settle(members.join(crowded, "key"), f"{where}/buckets")
     short = reps.select("node", "label", "n", "odd")
 
+    sets = Sets(docs, k, percent, where)
     comp = None
     for turn in range(STAR_ROUNDS):
         # buckets that hold several components draw a centre anew; the first draw is over all
@@ -202,18 +256,18 @@ def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None
             placed = buckets.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
             draw = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)).alias("r"), "node", "root")).alias("c")).where("lo <> hi").select("key", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root"))
             tries = placed.drop("centre").join(draw, "key").where("root <> centre_root").select("node", "centre").distinct()
-        near = (
+        close = (
             tries.join(short.alias("x"), "node")
             .select("node", "centre", F.struct("x.label", "x.n", "x.odd").alias("x"))
             .join(short.select(F.col("node").alias("centre"), F.struct("label", "n", "odd").alias("y")), "centre")
             .where(ratio)
-            .select("node", "centre", F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"), F.expr(_NEAR).alias("far"))
-            .where(F.col("far") <= limit)
+            .select("node", "centre", F.col("x.label").alias("label_a"), F.col("y.label").alias("label_b"), F.expr(_FAR).alias("far"), "x", "y")
+            .where(near(percent, "far"))
             .groupBy("node", "label_a")
             .agg(F.min(F.struct("far", "centre", "label_b")).alias("best"))
             .select(F.col("node").alias("a"), "label_a", F.col("best.centre").alias("b"), F.col("best.label_b").alias("label_b"))
         )
-        links = settle(confirm(docs, settle(near, f"{where}/tries-{turn}"), k, percent), f"{where}/links-{turn}")
+        links = settle(sets.confirm(settle(close, f"{where}/tries-{turn}")), f"{where}/links-{turn}")
         if turn and links.isEmpty():
             break
         known = links if comp is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
@@ -229,28 +283,29 @@ def groups(docs: DataFrame, *, k: int = 3, percent: int = 85, where: str | None
         .where("x.root <> y.root")
         .where("y.root = main or x.root < y.root")
         .where(ratio)
-        .where(f"{_NEAR} <= {limit}")
+        .where(near(percent, f"({_FAR})"))
         .select(F.col("x.node").alias("a"), F.col("x.label").alias("label_a"), F.col("y.node").alias("b"), F.col("y.label").alias("label_b"))
         .distinct()
     )
-    second = confirm(docs, settle(more, f"{where}/more-tries"), k, percent)
-    linked = settle(second, f"{where}/more-links")
-    if not linked.isEmpty():
-        comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked), f"{where}/components-last")
+    more = settle(more, f"{where}/more-tries")
+    if not more.isEmpty():
+        links = settle(sets.confirm(more), f"{where}/more-links")
+        comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), f"{where}/components-last")
 
     named = reps.select("node", "label").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("label").alias("component_id"))
+    # written first: a root of very many nodes then is a plain skewed side of the join
+    least = settle(named.groupBy("root").agg(F.min("label").alias("component_id")), f"{where}/names")
     named = named.join(least, "root").select(F.col("node").alias("fp"), "component_id")
     return (
-        sig.select("doc_id", "n_shingles", "fp")
+        sig.select("doc_id", "tie", "n_shingles", "fp")
         .join(named, "fp", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        .select("doc_id", "tie", "n_shingles", F.when(F.col("fp").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
 
 def keep(docs: DataFrame, *, k: int = 5, percent: int = 80, where: str | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, but for those in a group with a smaller id; of rows alike in id and group all stay."""
-    got = groups(docs, k=k, percent=percent, where=where).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    named = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    return named.join(got, F.col("_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """The rows of docs, with all their columns, whatever their names, but for those in a group with a smaller id. Of rows alike in id and group all stay, and so do texts without a word; a row of null id stays unless its group has an id; an empty table gives none."""
+    gone = _grouped(docs, k, percent, where or shared_dir(docs.sparkSession, "neardup")).where("not kept").select(F.col("doc_id").alias("gone"), F.col("tie").alias("gone_tie")).distinct()
+    one = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("tie"), packed(docs))
+    return one.join(gone, F.col("id").eqNullSafe(F.col("gone")) & (F.col("tie") == F.col("gone_tie")), "left_anti").select("row.*")

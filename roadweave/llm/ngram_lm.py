@@ -353,7 +353,8 @@ def train_and_score(docs: DataFrame, where: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity of every row.
 
     Without any row to learn from, all tokens are as likely. Repeated rows are
-    learned from and scored as often as they occur. An empty table gives none.
+    learned from and scored as often as they occur; very long texts count whole.
+    An empty table gives none; other columns of docs are not looked at.
     """
     where = where or shared_dir(docs.sparkSession, "ngram-lm")
     base = keyed(docs)

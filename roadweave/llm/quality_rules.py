@@ -168,8 +168,9 @@ def rules(docs: DataFrame, where: str | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and the measures of every row.
 
     Null texts have no words and so fail; null languages or sources are a value
-    like others; repeated rows count as often as they occur; an empty table gives
-    an empty result.
+    like others; very long texts are measured whole; repeated rows count as often
+    as they occur; an empty table gives an empty result; other columns of docs
+    are not looked at.
     """
     spark: SparkSession = docs.sparkSession
     where = where or shared_dir(spark, "quality")
@@ -179,7 +180,7 @@ def rules(docs: DataFrame, where: str | None = None) -> DataFrame:
 
 
 def keep(docs: DataFrame, where: str | None = None) -> DataFrame:
-    """The rows of docs, with all their columns, that pass. Texts are measured twice, once for the sketches and once beside the rows, and never shuffled."""
+    """The rows of docs, with all their columns, that pass. Texts are measured twice, once for the sketches and once beside the rows, and never shuffled. Nulls, repeated rows and empty tables as in rules; columns may have any name."""
     spark: SparkSession = docs.sparkSession
     where = where or shared_dir(spark, "quality")
     limits = settle(thresholds(sketches(annotate(docs, F.col("text"), ["doc_id"]))), f"{where}/limits")

@@ -45,7 +45,7 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), ranks=public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern=public_tokenizers.PATTERN, end_id=2)
+    return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
 
 
 def op10_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

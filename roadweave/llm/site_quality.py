@@ -1,8 +1,8 @@
 """Quality by hierarchical empirical Bayes over documents, hosts and paths.
 
-Evidence of a document: the log odds of a logistic classifier over how the text
-is made (bins of the quality rules' measures), fitted on a bounded sample of
-labelled rows. Evidence of a place: the labelled rows of each host and of each
+Evidence of a document: the log odds of a logistic classifier over its hashed
+words and over how the text is made (bins of the quality rules' measures),
+fitted on a bounded sample of labelled rows. Evidence of a place: the labelled rows of each host and of each
 path of a host, in grouped aggregates over all labels. Shares of good rows are
 shrunk, a host's towards the global share and a path's towards its host's, as
 beta priors whose strengths come from the spread of the shares themselves
@@ -20,10 +20,12 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import quality_rules as Q
-from .common import per_batch, settle, shared_dir
+from . import toxicity as X
+from .common import per_batch, quoted, settle, shared_dir
 
 MAX_ROWS = 20_000
 KEEP_AT = 0.5
+WORD_BITS = 18
 MEASURES = ["n_words", *Q.RULES]
 
 
@@ -33,27 +35,23 @@ def bins(x: np.ndarray) -> np.ndarray:
     return np.where(v < 8, v, 8 + np.floor(4 * np.log2(np.maximum(v, 8) / 8))).astype(np.int64).clip(0, 79)
 
 
-def features(column: pa.Array) -> np.ndarray:
-    """One bin of each measure for every text, numbered apart: rows of len(MEASURES) indices."""
-    out = []
-    for c in K.chunks(column):
+def features(column: pa.Array):
+    """For each chunk of texts: each text's terms (hashed words and their beginnings, then one bin of each measure), and the texts' bounds."""
+    for c, (idx, bounds) in zip(K.chunks(column), X.terms(column, WORD_BITS), strict=True):
         m = Q.measure(c)
-        out.append(np.stack([bins(m[x]) + 80 * i for i, x in enumerate(MEASURES)], 1))
-    return np.concatenate(out)
+        shape = np.stack([(1 << WORD_BITS) + 80 * i + bins(m[x]) for i, x in enumerate(MEASURES)], 1)
+        sizes = np.diff(bounds)
+        ends = np.cumsum(sizes + len(MEASURES))
+        out = np.empty(len(idx) + shape.size, np.int64)
+        own = np.repeat(np.arange(c.n), sizes)
+        out[np.arange(len(idx)) + own * len(MEASURES)] = idx
+        out[(ends[:, None] - len(MEASURES) + np.arange(len(MEASURES))).ravel()] = shape.ravel()
+        yield out, np.concatenate([[0], ends])
 
 
-def fit(x: np.ndarray, y: np.ndarray, rounds: int = 400, decay: float = 1.0) -> tuple[float, np.ndarray]:
-    """Ridge logistic regression on binned rows: diagonal Newton steps, damped."""
-    m = 80 * len(MEASURES)
-    share = (y.sum() + 1) / (len(y) + 2)
-    bias, w = float(np.log(share / (1 - share))), np.zeros(m)
-    count = np.bincount(x.ravel(), minlength=m)
-    for _ in range(rounds if len(y) else 0):
-        p = 1 / (1 + np.exp(-np.clip(bias + w[x].sum(1), -30, 30)))
-        g = np.bincount(x.ravel(), np.repeat(p - y, x.shape[1]), m) + decay * w
-        h = np.bincount(x.ravel(), np.repeat(p * (1 - p), x.shape[1]), m) + decay + 0.01 * count
-        w -= 0.5 * g / h / x.shape[1] ** 0.5
-    return bias, w
+def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> X.Machine:
+    """Logistic regression: the machine of toxicity without pairs; words that few rows hold or that say nothing of the label are left out."""
+    return X.fit(idx, bounds, y, bits=WORD_BITS + 1, factors=0, least_z=4.0, positive=1.0, passes=24)
 
 
 def held_out(mod: int = 5, out: int = 1) -> F.Column:
@@ -88,12 +86,14 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
 
     Learns from labelled rows that aren't held out. Null hosts and paths are a
     site like others; places without a label take their host's share, then the
-    global one; null texts are as empty ones; repeated rows repeat; an empty
-    table gives none; without labels all shares are one half.
+    global one; null texts are as empty ones; very long texts count with all
+    their words; repeated rows repeat; an empty table gives none; without labels
+    all shares are one half; other columns of docs are not looked at. host and
+    path name the columns that say where a document comes from.
     """
     spark: SparkSession = docs.sparkSession
     where = where or shared_dir(spark, "site-quality")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), quoted(host).cast("string").alias("host"), quoted(path).cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("good")).where("doc_id is not null and good is not null").where(~held_out()).groupBy("doc_id").agg(F.max("good").alias("good"))
     places = posteriors(base.select("doc_id", "host", "path").join(known, "doc_id"), where)
     table, rate = settle(places[0], f"{where}/posteriors"), places[1]
@@ -101,15 +101,16 @@ def classify(docs: DataFrame, labels: DataFrame, *, host: str = "source", path:
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
     def rows(b: pa.RecordBatch) -> pa.RecordBatch:
-        x = features(b.column(1)).astype(np.int16)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["good", "x"])
+        got = [np.split(i.astype(np.int32), n[1:-1]) for i, n in features(b.column(1))]
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for g in got for x in g], pa.binary())], names=["good", "x"])
 
-    got = base.join(F.broadcast(some), "doc_id").select("good", "text").mapInArrow(per_batch(rows), "good int, x binary").toArrow()
-    x = np.frombuffer(b"".join(got.column(1).to_pylist()), np.int16).astype(np.int64).reshape(-1, len(MEASURES))
-    bias, w = fit(x, np.array(got.column(0).to_pylist(), np.float64))
+    got = base.join(F.broadcast(some), "doc_id").select("good", "text").mapInArrow(per_batch(rows), "good int, x binary").orderBy(F.xxhash64("x")).toArrow()
+    sets = [np.frombuffer(x, np.int32) for x in got.column(1).to_pylist()]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+    sent = spark.sparkContext.broadcast(fit(np.concatenate(sets) if sets else np.zeros(0, np.int32), bounds, np.array(got.column(0).to_pylist(), np.float64)))
 
     def judge(b: pa.RecordBatch) -> pa.RecordBatch:
-        e = bias + w[features(b.column(3))].sum(1)
+        e = np.concatenate([sent.value.odds(i, n) for i, n in features(b.column(3))])
         return pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(e)], names=["doc_id", "host", "path", "evidence"])
 
     scored = base.mapInArrow(per_batch(judge), "doc_id long, host string, path string, evidence double")

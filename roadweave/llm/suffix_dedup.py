@@ -16,10 +16,11 @@ bytes. A run is an anchor with the windows that picked it.
 2.  Open runs, and one witness of each set of equal runs among them, become
     real suffixes: bytes from the anchor on. Spark samples splitters and range
     partitions them by their leading bytes; each bucket sorts its suffixes by
-    multikey quicksort, eight bytes a key, and compares neighbours. A splitter
-    never parts suffixes of equal leading GRAM bytes, so groups never straddle
-    a boundary between buckets. Windows within a group of suffixes are then
-    compared, each against all of its group.
+    multikey quicksort, eight bytes a key. A splitter never parts suffixes of
+    equal leading GRAM bytes, so groups never straddle a boundary between
+    buckets. Within a group the suffixes that start at each window are sorted in
+    the same way, and those whose neighbour shares `length` bytes repeat. A hash
+    of each window spares the sort those that have no equal; it decides nothing.
 3.  Intervals are gathered by document and cut out.
 
 An anchor that a great many differing runs share is dealt out in slices, by the
@@ -34,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .common import keyed, per_batch, shuffle_parts
@@ -214,22 +216,30 @@ def _suffixes(length: int):
 
 
 def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes data[s:s+depth] and, for each in that order, whether it equals its forerunner. Multikey quicksort with eight bytes as a character: only ties go on to the next character."""
+    """Order of the suffixes data[s:s+depth] and, for each in that order, whether it equals its forerunner in all of them. Multikey quicksort with eight bytes as a character: only ties go on to the next character, and of those only sets that differ in it are sorted."""
     n = len(starts)
     order, group = np.arange(n), np.zeros(n, np.int64)
     open_ = np.arange(n)  # places in the order that are still tied with a neighbour
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.lib.stride_tricks.sliding_window_view(padded, 8)
     for lo in range(0, depth, 8):
         if not len(open_):
             break
         own = order[open_]
-        key = np.zeros(len(own), np.uint64)
-        for j in range(min(8, depth - lo)):
-            key |= padded[starts[own] + lo + j].astype(np.uint64) << np.uint64(56 - 8 * j)
-        inner = np.lexsort((key, group[open_]))
-        order[open_] = own[inner]
-        key, g = key[inner], group[open_]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (key[1:] != key[:-1])])
+        key = words[starts[own] + lo].view(">u8").ravel().astype(np.uint64)
+        if depth - lo < 8:
+            key >>= np.uint64(8 * (8 - depth + lo))
+        g = group[open_]
+        head = np.concatenate([[True], g[1:] != g[:-1]])
+        at = np.flatnonzero(head)
+        number = np.cumsum(head) - 1
+        mixed = np.logical_or.reduceat(key != key[at][number], at)[number]
+        some = np.flatnonzero(mixed)
+        inner = some[np.lexsort((key[some], g[some]))]
+        order[open_[some]] = own[inner]
+        key[some] = key[inner]
+        new = head.copy()
+        new[1:] |= key[1:] != key[:-1]
         # a tie's number is the place in the order of its first member
         group[open_] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
         tied = ~new
@@ -277,13 +287,16 @@ def _resolve(length: int, window_limit: int = 200_000):
             own, step, slot = own[keep], step[keep], slot[keep]
             at = base_r[slot] + step
             h = piece.hash_ranges(at, at + length)
-            # equal windows have their anchor at the same place: (group, place) is implied by the bytes
+            # equal windows have their anchor at the same place: (group, place) is implied by the bytes.
+            # Hashes only spare the sort windows that have no equal; neighbours in the sorted order decide
             o = np.argsort(h)
-            hs = h[o]
-            eq = hs[1:] == hs[:-1]
+            eq = np.concatenate([[False], h[o][1:] == h[o][:-1]])
+            eq[:-1] |= eq[1:]
+            o = o[eq]
+            sorted_, same_window = multikey_sort(piece.data, at[o], length)
+            same_window[:-1] |= same_window[1:]
             rep = np.zeros(len(h), bool)
-            rep[o[1:][eq]] = True
-            rep[o[:-1][eq]] = True
+            rep[o[sorted_[same_window]]] = True
             rep &= num["kind"][own] == 1
             own, step = own[rep], step[rep]
             if len(own):
@@ -348,9 +361,11 @@ def _cut(keep_text: bool):
 def remove_repeats(docs: DataFrame, *, length: int = 200, keep_text: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; keep_text adds the remaining text, the removed spans, and the struct `carried` of the columns named in carry.
 
-    Null texts are as empty ones. Repeated rows repeat each other's strings, so
-    their windows all go. Windows never cross documents; texts under `length`
-    bytes stay whole. An empty table gives an empty result.
+    Null texts are as empty ones; null ids are ids like others. Repeated rows
+    repeat each other's strings, so their windows all go. Windows never cross
+    documents; texts under `length` bytes stay whole, and very long ones are
+    searched whole. An empty table gives an empty result; other columns of docs
+    are not looked at but to be carried, and may have any name.
     """
     if not GRAM < length < 2**31:
         raise ValueError(f"length must be over {GRAM}")
@@ -368,8 +383,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_text: bool = Fals
     spans = found.where("kind = 0").select("doc_id", "content", "start", (F.col("start") + F.col("n") - 1 + length).alias("end")).union(fine)
     spans = spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     shaped = (base.withColumn("text", F.col("text").cast("binary")) if keep_text else texts).join(spans, ["doc_id", "content"], "left").select(null.alias("doc_id"), "text", "spans", *(["carried"] if keep_text else []))
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    # fields, not text: a carried column may have any name
+    schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")]).add("kept_sha256", "string")
     if keep_text:
-        kind = shaped.schema["carried"].dataType.simpleString()
-        schema += f", kept_text string, removed array<struct<start: long, end: long>>, carried {kind}"
+        span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
+        schema = schema.add("kept_text", "string").add("removed", T.ArrayType(span)).add("carried", shaped.schema["carried"].dataType)
     return shaped.mapInArrow(per_batch(_cut(keep_text)), schema)

@@ -11,6 +11,8 @@ Layout (little endian): magic, 8 words of header, then ids, bounds, document ids
 
 from __future__ import annotations
 
+import json
+import os
 import re
 import zlib
 from array import array
@@ -126,6 +128,7 @@ class TokenFile:
 
 
 _UNSAFE = re.compile(r"\s\s(?:\s|\Z)")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 class ByteEncoder:
@@ -133,50 +136,42 @@ class ByteEncoder:
 
     A byte-level vocabulary first cuts a text into words by a pattern; every
     space or line end that is not inside a longer stretch of white space starts
-    a new word, so what lies between can be encoded by itself and kept. Segments
-    go through the vocabulary's rank table where one is given (it and the
-    library are compared at the start); texts that hold a special token, or
-    white space in stretches, go through as a whole.
+    a new word, so what lies between can be encoded by itself. A text's new
+    segments go through the library, once for each worker. Texts with longer
+    stretches are cut at single spaces between other signs only; texts that hold
+    a special token go through the library whole.
     """
 
-    def __init__(self, path: str, ranks_path: str | None, pattern: str | None):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        pre = made["pre_tokenizer"] or {}
+        self.cuts = made["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and made["post_processor"] is None
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.width = 2 if self.lib.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.fast = None
-        if ranks_path:
-            import base64
-
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-            probe = "It's 1,234 naïve tests:\n\n  \tÜber ﬁne 日本語 😀 don't -- stop.  \n end "
-            if self.fast(probe) != self.lib.encode(probe, add_special_tokens=False).ids:
-                raise ValueError("the rank table isn't that of the tokenizer file")
-        self.kept: dict[str, bytes] = {}
         self.code = "H" if self.width == 2 else "I"
+        self.kept: dict[str, bytes] = {}
+
+    def _raw(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _parts(self, text: str) -> list[str] | None:
+        """Segments as they are kept: the text's first as it stands, the others by what follows their space."""
+        if not self.cuts or not text or "\0" in text or any(s in text for s in self.special):
+            return None
+        got = _CUT.split(text) if _UNSAFE.search(text) else text.replace("\n", " \n").split(" ")
+        # a first segment has no space before it: kept under a name that no other has (texts with a zero byte go whole)
+        got[0] = "\0" + got[0]
+        return got
 
-    def whole(self, text: str) -> bytes:
-        if self.fast is None or any(s in text for s in self.special):
-            ids = self.lib.encode(text, add_special_tokens=False).ids
-        else:
-            ids = self.fast(text)
-        return np.array(ids, self.kind).tobytes()
-
-    def _learn(self, keys: list[str], got: list[bytes | None]) -> None:
-        """Fills the gaps of got, the ids of a text's segments."""
-        fast, kept, code = self.fast, self.kept, self.code
-        if len(kept) + len(keys) > CACHE_SEGMENTS:
-            kept.clear()
-        for i, ids in enumerate(got):
-            if ids is None:
-                k = keys[i]
-                got[i] = kept[k] = array(code, fast(k if k[:1] == "\n" else " " + k)).tobytes()
+    @staticmethod
+    def _text(key: str) -> str:
+        return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
     def batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -186,48 +181,49 @@ class ByteEncoder:
             while hi < len(texts) and (hi == lo or size < 4_000_000):
                 size += len(texts[hi])
                 hi += 1
-            parts: list[list[str] | None] = []
-            for t in texts[lo:hi]:
-                if self.fast is None or any(s in t for s in self.special) or _UNSAFE.search(t):
-                    parts.append(None)
-                else:
-                    parts.append(t.replace("\n", " \n").split(" "))
+            parts = [self._parts(t) for t in texts[lo:hi]]
+            need = set()
+            for p in parts:
+                if p is not None:
+                    need.update(p)
+            new = [k for k in need if k not in self.kept]
+            if len(self.kept) + len(new) > CACHE_SEGMENTS:
+                self.kept.clear()
+                new = list(need)
+            for i in range(0, len(new), 20_000):
+                some = new[i : i + 20_000]
+                self.kept.update(zip(some, self._raw([self._text(k) for k in some]), strict=True))
+            kept = self.kept.__getitem__
             for t, p in zip(texts[lo:hi], parts, strict=True):
-                if p is None:
-                    out.append(self.whole(t))
-                    continue
-                got = list(map(self.kept.get, p))
-                got[0] = self.whole(p[0]) if p[0] else b""  # the first segment has no space before it
-                if None in got:
-                    self._learn(p, got)
-                out.append(b"".join(got))
+                out.append(b"".join(map(kept, p)) if p is not None else self._raw([t])[0] if t else b"")
             lo = hi
         return out
 
 
-_encoders: dict[tuple, ByteEncoder] = {}
+_encoders: dict[str, ByteEncoder] = {}
 
 
-def byte_encoder(path: str, ranks_path: str | None = None, pattern: str | None = None) -> ByteEncoder:
-    key = (path, ranks_path, pattern)
-    if key not in _encoders:
-        _encoders[key] = ByteEncoder(*key)
-    return _encoders[key]
+def byte_encoder(path: str) -> ByteEncoder:
+    """One for each worker and vocabulary file."""
+    if path not in _encoders:
+        _encoders[path] = ByteEncoder(path)
+    return _encoders[path]
 
 
-def write(docs: DataFrame, where: str, tokenizer: str, *, ranks: str | None = None, pattern: str | None = None, end_id: int | None = None) -> DataFrame:
+def write(docs: DataFrame, where: str, tokenizer: str, *, end_id: int | None = None) -> DataFrame:
     """Encodes every whole text and writes one file for each range of document ids below `where`.
 
     Returns the manifest (shard, path, docs, tokens), sorted by shard: shard order
-    is document order. Null texts have no ids but the end id; null ids come
-    first; rows of equal ids are ordered by text. An empty table writes nothing.
+    is document order. Null texts have no ids but the end id; very long texts are
+    encoded whole; null ids come first; rows of equal ids are ordered by text.
+    An empty table writes nothing; other columns of docs are not looked at.
     """
     spark: SparkSession = docs.sparkSession
     parts = shuffle_parts(spark)
     dealt = keyed(docs).repartitionByRange(parts, "doc_id", F.xxhash64("text")).withColumn("shard", F.spark_partition_id()).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches):
-        enc = byte_encoder(tokenizer, ranks, pattern)
+        enc = byte_encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], enc.kind).tobytes()
         ids, names, shard = [], [], None
         for b in batches:

@@ -9,10 +9,13 @@ a group. The pairs cost no more than the terms: half of the square of the
 vectors' sum less the sum of their squares.
 
 The machine is fitted on a bounded sample: `max_rows` labelled rows, those with
-the least hash of their ids. Buckets carry no weight where fewer than
-`least_rows` of them hold one, nor where a bucket is neither common (a share of
-COMMON of the rows; it may matter in a pair) nor tied to the label (`least_z`
-standard deviations from chance). Everything else reads all rows.
+the least hash of their ids. A bucket that fewer than `least_rows` of them hold
+is left out, and so is one that is neither common (a share of COMMON of the
+rows), nor tied to the label by itself (`least_z` standard deviations from
+chance), nor tied to it together with another: pairs of buckets that rows of
+label 1 (PAIR_ROWS at least) hold together more often than apart are counted, and stay
+where the label is `pair_z` deviations likelier beside both than beside either.
+Everything else reads all rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ BUCKET_BITS = 20
 MAX_ROWS = 24_000
 LEAST_ROWS = 6
 LEAST_Z = 7.0
+PAIR_Z = 6.0
+PAIR_ROWS = 20
 COMMON = 0.2
 POSITIVE = 3.0
 FACTORS = 4
@@ -74,12 +79,16 @@ class Machine:
         self.weight = np.append(weight, 0).astype(np.float32)
         self.vector = np.concatenate([vector, np.zeros((1, vector.shape[1]))]).astype(np.float32)
 
-    def score(self, idx: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def odds(self, idx: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Log odds of texts."""
         slot = self.slot[idx]
         keep = slot < len(self.weight) - 1
         before = np.concatenate([[0], np.cumsum(keep)])
         slot, bounds = slot[keep], before[bounds]
-        return 1 / (1 + np.exp(-np.clip(_raw(self.bias, self.weight, self.vector, slot, bounds)[0], -30, 30)))
+        return _raw(self.bias, self.weight, self.vector, slot, bounds)[0]
+
+    def score(self, idx: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.odds(idx, bounds), -30, 30)))
 
 
 def _sums(x: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -94,14 +103,57 @@ def _raw(bias: float, weight: np.ndarray, vector: np.ndarray, slot: np.ndarray,
     return bias + _sums(weight[slot], bounds) + 0.5 * (s**2 - _sums(v**2, bounds)).sum(1), s
 
 
-def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, *, bits: int = BUCKET_BITS, factors: int = FACTORS, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, passes: int = 16, rate: float = 0.25, decay: float = 2e-5, batch: int = 256, seed: int = 3) -> Machine:
+def paired(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, least_rows: int, pair_z: float, bits: int) -> np.ndarray:
+    """Buckets that are tied to label 1 together with another bucket: neither needs to say anything alone."""
+    size, n, ones = 1 << bits, len(y), int(y.sum())
+    none = np.zeros(0, np.int64)
+    if not ones or ones == n:
+        return none
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    held, with_1 = np.bincount(idx, minlength=size), np.bincount(idx, y[doc], size).astype(np.int64)
+    names = np.flatnonzero((held <= COMMON * n) & (with_1 >= max(PAIR_ROWS, least_rows)))
+    if len(names) < 2:
+        return none
+    slot = np.full(size, -1)
+    slot[names] = np.arange(len(names))
+    t = slot[idx]
+    doc, t = doc[t >= 0], t[t >= 0]
+    rows_of = np.split(doc[np.argsort(t, kind="stable")], np.cumsum(np.bincount(t, minlength=len(names)))[:-1])
+    # rows of label 1 as lists of terms; for each term the sums of such lists
+    pos = y[doc] > 0
+    start = np.searchsorted(doc[pos], np.arange(n + 1))
+    terms_1, n1 = t[pos], with_1[names]
+    found = []
+    for i in range(len(names)):
+        mine = rows_of[i][y[rows_of[i]] > 0]
+        size_i = start[mine + 1] - start[mine]
+        at = np.repeat(start[mine] - (np.cumsum(size_i) - size_i), size_i) + np.arange(int(size_i.sum()))
+        both = np.bincount(terms_1[at], minlength=len(names))
+        both[: i + 1] = 0
+        apart = n1[i] * n1 / ones  # what chance gives among rows of label 1
+        for j in np.flatnonzero((both >= PAIR_ROWS) & (both > apart + pair_z * np.sqrt(apart) + 1)).tolist():
+            found.append((i, j, int(both[j])))
+    keep = set()
+    rate, mean = n1 / held[names], ones / n
+    for i, j, both in found:
+        total = len(np.intersect1d(rows_of[i], rows_of[j], assume_unique=True))
+        expect = min(max(rate[i], rate[j], mean), 1 - 1e-9)
+        if both - expect * total > pair_z * np.sqrt(total * expect * (1 - expect)):
+            keep |= {i, j}
+    return names[sorted(keep)]
+
+
+def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, *, bits: int = BUCKET_BITS, factors: int = FACTORS, least_rows: int = LEAST_ROWS, least_z: float = LEAST_Z, pair_z: float = PAIR_Z, positive: float = POSITIVE, passes: int = 16, rate: float = 0.25, decay: float = 2e-5, batch: int = 256, seed: int = 3) -> Machine:
     """Logistic loss, minibatches, steps scaled by each parameter's own past gradients."""
     g = np.random.Generator(np.random.PCG64(seed))
     held = np.bincount(idx, minlength=1 << bits)
     with_1 = np.bincount(idx, np.repeat(y, np.diff(bounds)), 1 << bits)
     mean = float(y.mean()) if len(y) else 0.5
     z = np.abs(with_1 - mean * held) / np.sqrt(np.maximum(held * mean * (1 - mean), 1e-9))
-    known = np.flatnonzero((held >= least_rows) & (z >= least_z) | (held >= max(least_rows, COMMON * len(y))))
+    known = (held >= least_rows) & (z >= least_z) | (held >= max(least_rows, COMMON * len(y)))
+    if factors:
+        known[paired(idx, bounds, y, least_rows, pair_z, bits)] = True
+    known = np.flatnonzero(known)
     slot = np.full(1 << bits, -1)
     slot[known] = np.arange(len(known))
     s = slot[idx]
@@ -122,11 +174,11 @@ def fit(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, *, bits: int = BUCKE
             at = np.repeat(bounds[rows], n) + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
             t = s[at]
             raw, total = _raw(bias, w, v, t, np.concatenate([[0], np.cumsum(n)]))
-            err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) * np.where(y[rows] > 0, POSITIVE, 1) / len(rows)
+            err = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - y[rows]) * np.where(y[rows] > 0, positive, 1) / len(rows)
             used, inv = np.unique(t, return_inverse=True)
             e = err[own]
             dw = np.bincount(inv, e, len(used)) + decay * w[used]
-            dv = np.stack([np.bincount(inv, e * (total[own, f] - v[t, f]), len(used)) for f in range(factors)], 1) + decay * v[used]
+            dv = np.stack([np.bincount(inv, e * (total[own, f] - v[t, f]), len(used)) for f in range(factors)], 1) + decay * v[used] if factors else v[used]
             gw[used] += dw**2
             gv[used] += dv**2
             gb += err.sum() ** 2
@@ -159,7 +211,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: in
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. Null texts are as empty ones: they get the score of the bias. Repeated rows repeat; an empty table gives none; without a label all texts score alike."""
+    """doc_id, held_out, score, predicted of every row.
+
+    Null texts are as empty ones: they get the score of the bias. Very long texts
+    count with all their terms. Repeated rows repeat; an empty table gives none;
+    without a label all texts score alike; other columns of docs are not looked at.
+    """
     spark: SparkSession = docs.sparkSession
     sent = spark.sparkContext.broadcast(machine)  # 2**bits slots and at most as many weights
 

@@ -39,11 +39,19 @@ def frame(spark, data):
     return spark.createDataFrame(data, SCHEMA)
 
 
+CLASHES = ("node", "fp", "bands", "size", "start", "content", "bucket", "score", "carried", "shard", "_id", "_gone", "gone", "id", "row", "_tie", "tie", "_shard", "_place", "place", "_d", "_s", "_t", "at", "mark", "piece", "pieces", "k", "range", "base", "_word", "_at", "_bits", "kept", "label", "root", "a.b", "host", "path", "x", "odd")
+
+
 def clashing(df):
-    """The same rows with more columns, whose names operators use inside."""
+    """The same rows with more columns, whose names operators use or have used inside, and one with a dot."""
     from pyspark.sql import functions as F
 
-    return df.select("*", *[F.lit(1).alias(c) for c in ("node", "fp", "bands", "size", "start", "content", "bucket", "score", "carried", "shard")])
+    return df.select("*", *[F.lit(n).alias(c) for n, c in enumerate(CLASHES)])
+
+
+def content(rows):
+    """Rows as a multiset, each with its columns' names."""
+    return collections.Counter(str(sorted(r.asDict().items())) for r in rows)
 
 
 def held_out(i, mod, out):

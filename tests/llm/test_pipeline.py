@@ -1,35 +1,58 @@
-"""The pipeline stage by stage against brute force."""
+"""The pipeline stage by stage against brute force, on awkward rows, more columns than it knows, and none."""
 
 import collections
+import hashlib
 
 import corpus_pipeline
+import public_tokenizers as P
+from roadweave.llm import mixing
 from tests.llm import corpus as C
 
 
 def test_stages(spark, tmp_path):
     data = C.rows(seed=9, n=90)
-    docs = C.frame(spark, data)
+    docs = C.clashing(C.frame(spark, data))
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    at = docs
+    at = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = {r.doc_id: r for r in at.collect()}
+        before = at.collect()
+        text = {r.doc_id: r.text for r in before}
         out = stage(spark, at, str(tmp_path))
         out.write.parquet(f"{tmp_path}/{k}")
-        at = spark.read.parquet(f"{tmp_path}/{k}")
-        if k < 4:
-            assert at.columns == docs.columns
+        fed, at = at, spark.read.parquet(f"{tmp_path}/{k}")
         rows = at.collect()
+        if k < 4:
+            assert at.columns == docs.columns and all(r[c] == n for r in rows for n, c in enumerate(C.CLASHES))
         if name == "quality rules":
             assert all(not C.rules(r.text)[5] for r in rows)
         if name == "near duplicates":
-            got = C.components([(r.doc_id, r.text) for r in before.values()], 5, 80)
-            assert {r.doc_id for r in rows} == {i for i, (_, c) in got.items() if i == c}
+            got = C.components([(r.doc_id, r.text) for r in before], 5, 80)
+            assert C.content(rows) == C.content(r for r in before if r.doc_id == got[r.doc_id][1])
         if name == "repeated strings":
-            want = {i: n - gone for i, n, gone, *_ in C.repeats([(r.doc_id, r.text) for r in before.values()], 200)}
+            want = {i: n - gone for i, n, gone, *_ in C.repeats([(r.doc_id, r.text) for r in before], 200)}
             for r in rows:
                 assert want[r.doc_id] - 6 <= len(r.text.encode()) <= want[r.doc_id]
         if name == "mix":
-            n = collections.Counter(r.doc_id for r in rows)
-            assert max(n.values()) <= 3 and all(r.text == before[r.doc_id].text for r in rows)
+            plan = collections.Counter(r.doc_id for r in mixing.plan(fed, whole=True).collect() for _ in r.pieces)
+            assert collections.Counter(r.doc_id for r in rows) == plan and all(r.text == text[r.doc_id] for r in rows)
+        if name == "token ids":
+            import sentencepiece
+
+            sp = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+            ids = {i: " ".join(map(str, [*sp.encode(t), 2])) for i, t in text.items()}
+            assert len(rows) == len(before) and all(r.ids_sha256 == hashlib.sha256(ids[r.doc_id].encode()).hexdigest() for r in rows)
     assert at.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_run_on_nothing(spark, tmp_path):
+    C.frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_on_nulls(spark, tmp_path):
+    """Nulls in every column, texts without a word, repeated rows: only whole documents get through."""
+    good = " ".join(f"word{i}" for i in range(60))
+    data = [(None, None, None, None, None), (1, None, "en", "s", None), (2, "", None, None, 0), (3, good, None, None, None), (3, good, None, None, None), (None, " ".join(f"term{i}" for i in range(50)), "en", None, 9)]
+    C.frame(spark, data).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.n_tokens > 1 for r in out) and {r.doc_id for r in out} <= {3, None}
