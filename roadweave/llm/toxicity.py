@@ -32,7 +32,7 @@ BUCKET_BITS = 20
 MAX_ROWS = 24_000
 LEAST_ROWS = 6
 LEAST_Z = 7.0
-PAIR_Z = 6.0
+PAIR_Z = 10.0
 PAIR_ROWS = 20
 COMMON = 0.2
 POSITIVE = 3.0
@@ -118,28 +118,31 @@ def paired(idx: np.ndarray, bounds: np.ndarray, y: np.ndarray, least_rows: int,
     slot[names] = np.arange(len(names))
     t = slot[idx]
     doc, t = doc[t >= 0], t[t >= 0]
-    rows_of = np.split(doc[np.argsort(t, kind="stable")], np.cumsum(np.bincount(t, minlength=len(names)))[:-1])
-    # rows of label 1 as lists of terms; for each term the sums of such lists
-    pos = y[doc] > 0
-    start = np.searchsorted(doc[pos], np.arange(n + 1))
-    terms_1, n1 = t[pos], with_1[names]
-    found = []
-    for i in range(len(names)):
-        mine = rows_of[i][y[rows_of[i]] > 0]
-        size_i = start[mine + 1] - start[mine]
-        at = np.repeat(start[mine] - (np.cumsum(size_i) - size_i), size_i) + np.arange(int(size_i.sum()))
-        both = np.bincount(terms_1[at], minlength=len(names))
-        both[: i + 1] = 0
-        apart = n1[i] * n1 / ones  # what chance gives among rows of label 1
-        for j in np.flatnonzero((both >= PAIR_ROWS) & (both > apart + pair_z * np.sqrt(apart) + 1)).tolist():
-            found.append((i, j, int(both[j])))
+
+    def bitmaps(rows: np.ndarray) -> np.ndarray:
+        """For each term the rows that hold it, a bit a row: len(names) * rows / 8 bytes, and rows are at most those of the sample."""
+        place = np.cumsum(rows) - 1
+        mine = rows[doc]
+        bits = np.zeros((len(names), -(-int(rows.sum()) // 64)), np.uint64)
+        at = place[doc[mine]]
+        np.bitwise_or.at(bits, (t[mine], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        return bits
+
+    ones_held, n1 = bitmaps(y > 0), with_1[names]
+    all_held = bitmaps(np.ones(n, bool))
     keep = set()
     rate, mean = n1 / held[names], ones / n
-    for i, j, both in found:
-        total = len(np.intersect1d(rows_of[i], rows_of[j], assume_unique=True))
-        expect = min(max(rate[i], rate[j], mean), 1 - 1e-9)
-        if both - expect * total > pair_z * np.sqrt(total * expect * (1 - expect)):
-            keep |= {i, j}
+    for i in range(len(names) - 1):
+        both = np.bitwise_count(ones_held[i] & ones_held[i + 1 :]).sum(1, dtype=np.int64)
+        apart = n1[i] * n1[i + 1 :] / ones  # what chance gives among rows of label 1
+        j = np.flatnonzero((both >= PAIR_ROWS) & (both > apart + pair_z / 2 * np.sqrt(apart) + 1))
+        if len(j):
+            both, j = both[j], j + i + 1
+            total = np.bitwise_count(all_held[i] & all_held[j]).sum(1, dtype=np.int64)
+            expect = np.clip(np.maximum(np.maximum(rate[i], rate[j]), mean), 0, 1 - 1e-9)
+            found = j[both - expect * total > pair_z * np.sqrt(total * expect * (1 - expect))]
+            if len(found):
+                keep.update([i, *found.tolist()])
     return names[sorted(keep)]
 
 
