@@ -128,6 +128,7 @@ class TokenFile:
 
 
 _UNSAFE = re.compile(r"\s\s(?:\s|\Z)")
+_PLAIN = re.compile(r"\n?[^\s\0]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -156,6 +157,23 @@ class ByteEncoder:
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
         self.code = "H" if self.width == 2 else "I"
         self.kept: dict[str, bytes] = {}
+        # ids of pieces that open with a space or a line end
+        self.opens = np.zeros(self.lib.get_vocab_size(), bool)
+        for piece, i in self.lib.get_vocab().items():
+            self.opens[i] = piece[:1] in ("\u0120", "\u010a")
+
+    def _learn(self, keys: list[str]) -> None:
+        """Ids of segments. Those with one space or line end, at their start, go through the library joined, a call for many: each begins a new word there and nowhere else, so its first piece tells where it starts. Should the pieces not add up, and for all others, each goes by itself."""
+        plain = [k for k in keys if k and _PLAIN.fullmatch(k)]
+        if len(plain) > 1:
+            ids = np.array(self.lib.encode_batch_fast(["".join(map(self._text, plain))], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(plain) and at[0] == 0:
+                raw, cut = ids.tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
+                self.kept.update(zip(plain, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+                keys = [k for k in keys if k not in self.kept]
+        if keys:
+            self.kept.update(zip(keys, self._raw([self._text(k) for k in keys]), strict=True))
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
@@ -191,8 +209,7 @@ class ByteEncoder:
                 self.kept.clear()
                 new = list(need)
             for i in range(0, len(new), 20_000):
-                some = new[i : i + 20_000]
-                self.kept.update(zip(some, self._raw([self._text(k) for k in some]), strict=True))
+                self._learn(new[i : i + 20_000])
             kept = self.kept.__getitem__
             for t, p in zip(texts[lo:hi], parts, strict=True):
                 out.append(b"".join(map(kept, p)) if p is not None else self._raw([t])[0] if t else b"")
