@@ -19,9 +19,13 @@ component. The steps:
     components (large-star / small-star rounds), and buckets that still hold
     several draw again, a few times.
 4.  In buckets that hold several components even then, sketches of nodes of
-    different components are compared inside the join's condition; only pairs
-    that they allow leave it. So no pair within a bucket goes untried but those
-    already connected.
+    different components are compared; only pairs that they allow go on. So no
+    pair within a bucket goes untried but those already connected. Buckets of up
+    to CROWD nodes do that inside a join's condition. Larger ones are cut into
+    tiles of some TILE nodes, and each pair of tiles is a group of its own, where
+    blocks of sketches are compared at once. Their first pass gives each node's
+    nearest of each other component only; the second gives all that are allowed
+    between components which that has left apart.
 5.  Each pair is confirmed on the full sets. A node's set is made once, from the
     whole text of a document that has it, and joined by node.
 
@@ -43,6 +47,7 @@ from .common import keyed, narrow, packed, per_batch, settle, shared_dir
 
 BANDS, ROWS, SAMPLE, SKETCH_BITS = 32, 5, 1024, 1024
 STAR_ROUNDS = 3
+CROWD, TILE = 64, 512
 _rng = np.random.Generator(np.random.PCG64(77))
 _A = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
 _B = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
@@ -112,6 +117,57 @@ def near(percent: int, far: str) -> str:
     return f"case when greatest(x.n, y.n) <= {SAMPLE} then {whole} else {far} <= {sketch_limit(percent)} end"
 
 
+TRIES = "a long, label_a long, b long, label_b long, root_b long, far long"
+
+
+def tile_pairs(percent: int, nearest: bool):
+    """For applyInArrow, of the nodes of a left and a right tile of a bucket (side 0 and 1): the pairs of different roots that their sketches allow, of two that are both outside the main root only in the order of their numbers; nearest: of a left node and each other root only the first by sketch."""
+    limit = sketch_limit(percent)
+
+    def run(t: pa.Table) -> pa.Table:
+        node, root, label, n, side, main = (t.column(c).to_numpy() for c in ("node", "root", "label", "n", "side", "main"))
+        odd = np.ascontiguousarray(t.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1).T)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        bits, in_main = odd[:, right], root[right] == main[right]
+        out = [(np.zeros(0, np.int64),) * 3]
+        for lo in range(0, len(left), 64):
+            x = left[lo : lo + 64]
+            far = np.zeros((len(x), len(right)), np.int64)
+            for word in range(len(odd)):
+                far += np.bitwise_count(odd[word, x][:, None] ^ bits[word])
+            nx, ny = n[x][:, None], n[right]
+            may = np.where(np.maximum(nx, ny) <= SAMPLE, far * (100 + percent) <= (100 - percent) * (nx + ny), far <= limit)
+            may &= 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+            may &= (root[x][:, None] != root[right]) & (in_main | (node[x][:, None] < node[right]))
+            i, j = np.nonzero(may)
+            f, i, j = far[i, j], x[i], right[j]
+            if nearest and len(i):
+                o = np.lexsort((node[j], f, root[j], i))
+                o = o[np.concatenate([[True], (i[o][1:] != i[o][:-1]) | (root[j][o][1:] != root[j][o][:-1])])]
+                f, i, j = f[o], i[o], j[o]
+            out.append((i, j, f))
+        i, j, far = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table([pa.array(c) for c in (node[i], label[i], node[j], label[j], root[j], far)], names=[c.split()[0] for c in TRIES.split(", ")])
+
+    return run
+
+
+def tiled(crowds: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs (TRIES) of the nodes of crowds (key, main, node, root, label, n, odd). Left tiles hold a bucket's nodes outside its main root, right tiles all: a left node is copied for each right tile, and the other way round."""
+    count = lambda c: F.greatest(F.lit(1), F.ceil(F.count(c) / TILE)).cast("int")
+    tiles = crowds.groupBy("key").agg(count(F.when(F.col("root") != F.col("main"), 1)).alias("_left"), count(F.lit(1)).alias("_right"))
+    own = crowds.join(tiles, "key")
+
+    def dealt(side: int, name: str, other: str) -> DataFrame:
+        tile = F.pmod(F.xxhash64("node", F.lit("tile")), F.col(name)).cast("int")
+        each = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        return own.select("key", tile.alias(name), each.alias(other), F.lit(side).alias("side"), "main", "node", "root", "label", "n", "odd")
+
+    left = dealt(0, "_left", "_right").where("root <> main")
+    both = left.unionByName(dealt(1, "_right", "_left"))
+    return both.groupBy("key", "_left", "_right").applyInArrow(tile_pairs(percent, nearest), TRIES)
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, a hash of the text, n_shingles, and of texts with a word the set's print, band keys and odd sketch."""
 
@@ -273,11 +329,22 @@ def _grouped(docs: DataFrame, k: int, percent: int, where: str) -> DataFrame:
         known = links if comp is None else comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links)
         comp = components(known, f"{where}/components-{turn}")
 
-    placed = buckets.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main")).where("lo <> hi").select("key", "main")
-    open_ = settle(placed.join(mixed, "key").select("key", "node", "root", "main").join(short, "node"), f"{where}/open")
-    left = open_.where("root <> main").select("key", "main", F.struct("node", "root", "label", "n", "odd").alias("x"))
-    right = open_.select("key", F.struct("node", "root", "label", "n", "odd").alias("y"))
+    def still_open(name: str) -> DataFrame:
+        placed = buckets.join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = placed.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi"), F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main")).where("lo <> hi").select("key", "m", "main")
+        return settle(placed.join(mixed, "key").select("key", "m", "node", "root", "main").join(short, "node"), f"{where}/{name}")
+
+    open_ = still_open("open")
+    if not open_.where(F.col("m") > CROWD).isEmpty():
+        best = F.min(F.struct("far", "b", "label_b")).alias("best")
+        first = tiled(open_.where(F.col("m") > CROWD), percent, True).groupBy("a", "label_a", "root_b").agg(best).select("a", "label_a", F.col("best.b").alias("b"), F.col("best.label_b").alias("label_b"))
+        links = settle(sets.confirm(settle(first, f"{where}/crowd-tries")), f"{where}/crowd-links")
+        if not links.isEmpty():
+            comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), f"{where}/components-crowd")
+            open_ = still_open("open-again")
+    few = open_.where(F.col("m") <= CROWD)
+    left = few.where("root <> main").select("key", "main", F.struct("node", "root", "label", "n", "odd").alias("x"))
+    right = few.select("key", F.struct("node", "root", "label", "n", "odd").alias("y"))
     more = (
         left.join(right, "key")
         .where("x.root <> y.root")
@@ -285,9 +352,9 @@ def _grouped(docs: DataFrame, k: int, percent: int, where: str) -> DataFrame:
         .where(ratio)
         .where(near(percent, f"({_FAR})"))
         .select(F.col("x.node").alias("a"), F.col("x.label").alias("label_a"), F.col("y.node").alias("b"), F.col("y.label").alias("label_b"))
-        .distinct()
     )
-    more = settle(more, f"{where}/more-tries")
+    crowded_tries = settle(tiled(open_.where(F.col("m") > CROWD), percent, False).select("a", "label_a", "b", "label_b"), f"{where}/more-crowd-tries")
+    more = settle(more.union(crowded_tries).distinct(), f"{where}/more-tries")
     if not more.isEmpty():
         links = settle(sets.confirm(more), f"{where}/more-links")
         comp = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(links), f"{where}/components-last")

@@ -1,6 +1,7 @@
 """Each operator against a brute-force form or its library, on awkward rows and on none."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -287,6 +288,49 @@ def test_near_duplicates_in_a_hot_group(spark):
     assert got == C.components(data, 3, 85)
 
 
+def test_near_duplicates_in_tiles(spark, monkeypatch):
+    """A bucket of hundreds, most of them connected, is compared by pairs of tiles, and no join sees its pairs."""
+    monkeypatch.setattr(neardup, "CROWD", 8)
+    monkeypatch.setattr(neardup, "TILE", 50)
+    seen = []
+    tiled = neardup.tiled
+    monkeypatch.setattr(neardup, "tiled", lambda crowds, *a: (seen.append(crowds.agg({"m": "max"}).first()[0]), tiled(crowds, *a))[1])
+    g = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    data = []
+    for i in range(240):
+        w = list(base)
+        for _ in range(g.randrange(8)):
+            w[g.randrange(len(w))] = f"new{g.randrange(40)}"
+        data.append((i, " ".join(w), "en", "s", 0))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.groups(C.frame(spark, data)).collect()}
+    assert got == C.components(data, 3, 85)
+    assert 10 < len({c for _, c in got.values()}) < 200 and max(x or 0 for x in seen) > 100
+
+
+def test_tile_pairs_match_all_pairs():
+    g = np.random.default_rng(5)
+    base = g.integers(0, 2**64, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[g.random(300) > cut], g.integers(0, 2**64, int(300 * cut), dtype=np.uint64)])) for cut in g.random(150) * 0.2]
+    root = np.where(np.arange(150) % 3 > 0, 7, g.integers(0, 12, 150))
+    odd = [neardup.odd_sketch(u) for u in sets]
+    rows = [{"side": side, "main": 7, "node": i, "root": int(root[i]), "label": i + 1000, "n": len(sets[i]), "odd": odd[i].tolist()} for side in (0, 1) for i in range(150) if side or root[i] != 7]
+    t = pa.Table.from_pylist(rows)
+    want = {}
+    for i, j in itertools.combinations(range(150), 2):
+        far = int(np.bitwise_count((odd[i] ^ odd[j]).view(np.uint64)).sum())
+        n = [len(sets[i]), len(sets[j])]
+        if root[i] != root[j] and 185 * far <= 15 * sum(n) and 100 * min(n) >= 85 * max(n):
+            want[i, j] = far
+    got = neardup.tile_pairs(85, False)(t).to_pylist()
+    assert want and sorted((*sorted((r["a"], r["b"])), r["far"]) for r in got) == sorted((*k, f) for k, f in want.items())
+    assert all((r["label_a"], r["label_b"], r["root_b"]) == (r["a"] + 1000, r["b"] + 1000, root[r["b"]]) for r in got)
+    near = {}
+    for r in got:
+        near[r["a"], r["root_b"]] = min(near.get((r["a"], r["root_b"]), (9999,)), (r["far"], r["b"]))
+    assert {(r["a"], r["root_b"]): (r["far"], r["b"]) for r in neardup.tile_pairs(85, True)(t).to_pylist()} == near
+
+
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup(docs, none, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT_GROUP", hot)
