@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .kernels import trim
+from .kernels import release, trim
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -106,10 +106,11 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).cast("string").alias("text"))
 
 
-def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For mapInArrow: fn of each batch; batches of no rows are passed over."""
+def per_batch(fn: Callable[[pa.RecordBatch], pa.RecordBatch | list], owner: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow: fn of each batch; batches of no rows are passed over. A worker that is used again first drops what it keeps for others than owner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(owner)
         for b in batches:
             if b.num_rows:
                 out = fn(b)

@@ -125,6 +125,7 @@ def tile_pairs(percent: int, nearest: bool):
     limit = sketch_limit(percent)
 
     def run(t: pa.Table) -> pa.Table:
+        K.release()
         node, root, label, n, side, main = (t.column(c).to_numpy() for c in ("node", "root", "label", "n", "side", "main"))
         odd = np.ascontiguousarray(t.column("odd").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1).T)
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)

@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import kernels as K
 from .common import keyed, per_batch
 
 MARK = "▁"
@@ -315,7 +316,7 @@ class Encoder:
             lo = hi
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = K.kept("sentencepieces")
 
 
 def encoder(path: str, check: bool = True) -> Encoder:
@@ -361,4 +362,4 @@ def encode(docs: DataFrame, model_path: str, *, end_id: bool = True, digests_onl
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = SCHEMA if not digests_only else SCHEMA.split(", ids array")[0]
-    return keyed(docs).mapInArrow(per_batch(run), schema)
+    return keyed(docs).mapInArrow(per_batch(run, "sentencepieces"), schema)

@@ -161,6 +161,7 @@ def _settled(length: int):
     small = np.uint8 if length <= 255 else np.uint32
 
     def run(t: pa.Table) -> pa.Table:
+        K.release()
         K.trim()
 
         def col(name: str, kind) -> np.ndarray:
@@ -312,6 +313,7 @@ def _resolve(length: int, window_limit: int = 200_000):
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["doc_id", "content", "start", "end"])
 
     def run(batches):
+        K.release()
         K.trim()
         rows = [b for b in batches if b.num_rows]
         if rows and (got := finish(rows)) is not None:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pytest
 
 from roadweave.llm import fingerprints, kernels, mixing, neardup, ngram_lm, quality_rules, sentencepieces, site_quality, suffix_dedup, token_files, toxicity
+from roadweave.llm.common import keyed, per_batch
 from tests.llm import corpus as C
 
 DATA = C.rows()
@@ -288,6 +289,21 @@ def test_near_duplicates_in_a_hot_group(spark):
     assert got == C.components(data, 3, 85)
 
 
+def test_workers_drop_the_vocabulary(spark, docs):
+    """A worker that has encoded texts keeps nothing of it while it runs tasks of other kinds."""
+
+    def held(b: pa.RecordBatch) -> pa.RecordBatch:
+        from roadweave.llm import sentencepieces as S
+
+        return pa.RecordBatch.from_arrays([pa.array([len(S._encoders)] * b.num_rows, pa.int64())], names=["n"])
+
+    for owner, want in (("sentencepieces", 1), (None, 0)):
+        for _ in range(2):
+            assert sentencepieces.encode(docs, P.path("piece_bpe_32k.model")).select("n_tokens").collect()
+        got = {r.n for r in keyed(docs).repartition(4).mapInArrow(per_batch(held, owner) if owner else per_batch(held), "n long").collect()}
+        assert max(got) == want
+
+
 def test_near_duplicates_in_tiles(spark, monkeypatch):
     """A bucket of hundreds, most of them connected, is compared by pairs of tiles, and no join sees its pairs."""
     monkeypatch.setattr(neardup, "CROWD", 8)
