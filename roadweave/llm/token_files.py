@@ -11,11 +11,13 @@ Layout (little endian): magic, 8 words of header, then ids, bounds, document ids
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
 import zlib
 from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -130,6 +132,9 @@ class TokenFile:
 _UNSAFE = re.compile(r"\s\s(?:\s|\Z)")
 _PLAIN = re.compile(r"\n?[^\s\0]+")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: letters by any version of Unicode, and signs that are neither letters, numbers nor spaces: the vocabulary's pattern always parts them
+_LATIN = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class ByteEncoder:
@@ -138,14 +143,16 @@ class ByteEncoder:
     A byte-level vocabulary first cuts a text into words by a pattern; every
     space or line end that is not inside a longer stretch of white space starts
     a new word, so what lies between can be encoded by itself. A text's new
-    segments go through the library, once for each worker. Texts with longer
-    stretches are cut at single spaces between other signs only; texts that hold
-    a special token go through the library whole.
+    segments go through the library, once for each worker, and signs after a
+    word by themselves. When too many are kept, the later half goes: what is
+    frequent came early. Texts with longer stretches are cut at single spaces
+    between other signs only; texts that hold a special token go through the
+    library whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one core a task
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.lib = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
@@ -161,16 +168,54 @@ class ByteEncoder:
         self.opens = np.zeros(self.lib.get_vocab_size(), bool)
         for piece, i in self.lib.get_vocab().items():
             self.opens[i] = piece[:1] in ("\u0120", "\u010a")
+        # the same model, fed with bytes that already have their signs
+        self.words = Tokenizer(self.lib.model)
+        self.words.pre_tokenizer = pre_tokenizers.Split("\u0120", "merged_with_next")
+        plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or b >= 0xAE]
+        others = (b for b in range(256) if b not in plain)
+        self.signs = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(others)}
 
     def _learn(self, keys: list[str]) -> None:
+        """Ids of segments; those of a word and signs after it are put together."""
+        if not self.cuts:
+            return self._learn_whole(keys)
+        whole, made = [], []
+        heads, tails = set(), set()
+        for k in keys:
+            word = k.rstrip(_SIGNS)
+            if word.isalpha() and (word.isascii() or _LATIN(word)):
+                heads.add(word)
+                if len(word) < len(k):
+                    signs = "\0" + k[len(word) :]
+                    tails.add(signs)
+                    made.append((k, word, signs))
+            else:
+                whole.append(k)
+        words = list(heads.difference(self.kept))
+        if words:
+            text = " ".join(["", *words]).encode().decode("latin-1").translate(self.signs)
+            if not self._keep(words, self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids):
+                whole += words
+        self._learn_whole(list(tails.difference(self.kept).union(whole)))
+        kept = self.kept
+        for k, word, signs in made:
+            kept[k] = kept[word] + kept[signs]
+
+    def _keep(self, keys: list[str], ids: list[int]) -> bool:
+        """Deals ids out to joined segments, by the pieces that open one; False, and nothing is kept, where they don't add up."""
+        ids = np.array(ids, self.kind)
+        at = np.flatnonzero(self.opens[ids])
+        if len(at) != len(keys) or at[0] != 0:
+            return False
+        raw, cut = ids.tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
+        self.kept.update(zip(keys, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+        return True
+
+    def _learn_whole(self, keys: list[str]) -> None:
         """Ids of segments. Those with one space or line end, at their start, go through the library joined, a call for many: each begins a new word there and nowhere else, so its first piece tells where it starts. Should the pieces not add up, and for all others, each goes by itself."""
         plain = [k for k in keys if k and _PLAIN.fullmatch(k)]
         if len(plain) > 1:
-            ids = np.array(self.lib.encode_batch_fast(["".join(map(self._text, plain))], add_special_tokens=False)[0].ids, self.kind)
-            at = np.flatnonzero(self.opens[ids])
-            if len(at) == len(plain) and at[0] == 0:
-                raw, cut = ids.tobytes(), [*(at * self.width).tolist(), len(ids) * self.width]
-                self.kept.update(zip(plain, map(raw.__getitem__, map(slice, cut, cut[1:])), strict=True))
+            if self._keep(plain, self.lib.encode_batch_fast(["".join(map(self._text, plain))], add_special_tokens=False)[0].ids):
                 keys = [k for k in keys if k not in self.kept]
         if keys:
             self.kept.update(zip(keys, self._raw([self._text(k) for k in keys]), strict=True))
@@ -192,6 +237,16 @@ class ByteEncoder:
         return key[1:] if key[:1] == "\0" else key if key[:1] == "\n" else " " + key
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. Nothing here refers back to itself, so the collector need not walk millions of segments meanwhile."""
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            return self._batch(texts)
+        finally:
+            if was:
+                gc.enable()
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         lo = 0
         while lo < len(texts):
@@ -200,19 +255,17 @@ class ByteEncoder:
                 size += len(texts[hi])
                 hi += 1
             parts = [self._parts(t) for t in texts[lo:hi]]
-            need = set()
-            for p in parts:
-                if p is not None:
-                    need.update(p)
-            new = [k for k in need if k not in self.kept]
+            got = [list(map(self.kept.get, p)) if p is not None else [self._raw([t])[0] if t else b""] for t, p in zip(texts[lo:hi], parts, strict=True)]
+            gaps = [[i for i, x in enumerate(g) if x is None] for g in got]
+            new = list({p[i] for p, at in zip(parts, gaps, strict=True) for i in at})
             if len(self.kept) + len(new) > CACHE_SEGMENTS:
-                self.kept.clear()
-                new = list(need)
+                self.kept = dict(islice(self.kept.items(), CACHE_SEGMENTS // 2))
             for i in range(0, len(new), 20_000):
                 self._learn(new[i : i + 20_000])
-            kept = self.kept.__getitem__
-            for t, p in zip(texts[lo:hi], parts, strict=True):
-                out.append(b"".join(map(kept, p)) if p is not None else self._raw([t])[0] if t else b"")
+            for p, g, at in zip(parts, got, gaps, strict=True):
+                for i in at:
+                    g[i] = self.kept[p[i]]
+                out.append(b"".join(g))
             lo = hi
         return out
 

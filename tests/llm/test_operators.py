@@ -396,6 +396,25 @@ def test_byte_encoder_segments():
         assert np.frombuffer(raw, "<u2").tolist() == e.lib.encode(t, add_special_tokens=False).ids, t
 
 
+def test_byte_encoder_words_and_signs(monkeypatch):
+    """Signs after a known word cost the library nothing, and a full store loses what came last, not what came first."""
+    e = token_files.ByteEncoder(P.path("byte_bpe_50k.json"))
+    asked = []
+    learn = e._learn_whole
+    monkeypatch.setattr(e, "_learn_whole", lambda keys: asked.extend(keys) or learn(keys))
+    texts = ["a word and Été", "a word, and Été!! word. don't 'word' x's a_b A1, naïve... 1.000, ½, Ⅷ! ǅ ɐ, ʰ! e\u0301, #", "word,' Été'' and'"]
+    for t in texts:
+        assert np.frombuffer(e.batch([t])[0], "<u2").tolist() == e.lib.encode(t, add_special_tokens=False).ids
+    assert not {"word", "word,", "Été!!", "word.", "naïve...", "word,'", "Été''", "and'"} & set(asked)
+    monkeypatch.setattr(token_files, "CACHE_SEGMENTS", 60)
+    first = list(e.kept)[:30]
+    g = random.Random(4)
+    for _ in range(30):
+        t = " ".join("".join(g.choice("abcdeéñß") for _ in range(5)) + g.choice(["", ",", "!?", "'s"]) for _ in range(20))
+        assert np.frombuffer(e.batch([t])[0], "<u2").tolist() == e.lib.encode(t, add_special_tokens=False).ids
+        assert set(first) <= e.kept.keys() and len(e.kept) < 200
+
+
 def test_elias_fano():
     g = np.random.default_rng(1)
     for top in (1, 5, 1000, 10**9):
