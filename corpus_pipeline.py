@@ -32,7 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 200 bytes that start twice or more are cut out of all their places; texts of which nothing but white space is left go."""
-    got = suffix_dedup.remove_repeats(docs, length=200, keep_text=True, carry=docs.columns)
+    others = [c for c in docs.columns if c not in ("text", "n_chars")]  # made anew from the kept text: not carried beside it
+    got = suffix_dedup.remove_repeats(docs, length=200, keep_text=True, carry=others)
     cols = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(docs.schema["n_chars"].dataType).alias(c) if c == "n_chars" else F.col("carried").getField(c).alias(c) for c in docs.columns]
     return got.where("n_removed = 0 or trim(kept_text) <> ''").select(*cols)
 

@@ -42,7 +42,7 @@ from .common import keyed, per_batch, shuffle_parts
 
 GRAM = 48
 HOT_GROUP = 4096
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _TOP = np.uint64(2**64 - 1)
 
 

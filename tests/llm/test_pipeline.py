@@ -5,7 +5,7 @@ import hashlib
 
 import corpus_pipeline
 import public_tokenizers as P
-from roadweave.llm import mixing
+from roadweave.llm import mixing, suffix_dedup
 from tests.llm import corpus as C
 
 
@@ -44,6 +44,20 @@ def test_stages(spark, tmp_path):
     assert at.columns[:4] == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
 
+def test_repeated_strings_moves_a_text_once(spark, monkeypatch):
+    """What the stage makes anew does not travel a second time beside the text, and the other columns come back as they were."""
+    seen = []
+    real = suffix_dedup.remove_repeats
+    monkeypatch.setattr(suffix_dedup, "remove_repeats", lambda docs, **k: seen.append(real(docs, **k)) or seen[-1])
+    docs = C.clashing(C.frame(spark, C.rows(seed=9, n=30)))
+    out = corpus_pipeline.repeated_strings(spark, docs, "")
+    assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+    assert set(seen[0].schema["carried"].dataType.names) == set(docs.columns) - {"text", "n_chars"}
+    was = {r.doc_id: r for r in docs.collect()}
+    for r in out.collect():
+        assert r.n_chars == len(r.text) and all(r[c] == was[r.doc_id][c] for c in docs.columns if c not in ("text", "n_chars"))
+
+
 def test_run_on_nothing(spark, tmp_path):
     C.frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
