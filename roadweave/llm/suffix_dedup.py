@@ -43,6 +43,10 @@ from .common import keyed, per_batch, shuffle_parts
 GRAM = 48
 HOT_GROUP = 4096
 CHUNK = 1 << 18
+#: bytes of suffixes that are made, or whose windows are hashed, at once
+PIECE = 1 << 19
+#: bytes of text for each of the buckets and ranges that a worker holds whole
+PART_BYTES = 32_000_000
 _TOP = np.uint64(2**64 - 1)
 
 
@@ -196,22 +200,29 @@ _SUFFIX = "doc_id long, content long, start long, n long, place long, part int,
 def _suffixes(length: int):
     """For documents with open runs: each run's bytes, and the leading bytes of its suffix."""
 
-    def run(b: pa.RecordBatch) -> list[pa.RecordBatch]:
-        out = []
-        data = b.column(2)
-        for i in range(b.num_rows):
-            raw = data[i].as_buffer()
-            view = memoryview(raw)
-            for x in b.column(3)[i].as_py():
-                s, n, p = x["start"], x["n"], x["place"]
-                whole = bytes(view[s : s + n - 1 + length])
-                for part in range(x["slices"]):
-                    out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), s, n, p, part, x["slices"], x["kind"], whole, whole[p : p + GRAM]))
-        if not out:
-            return []
-        names = [x.split()[0] for x in _SUFFIX.split(", ")]
-        kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int8()] + [pa.binary()] * 2
-        return [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)]
+    names = [x.split()[0] for x in _SUFFIX.split(", ")]
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.int8()] + [pa.binary()] * 2
+
+    def run(batches):
+        K.release()
+        for b in batches:
+            out, held = [], 0
+            data = b.column(2)
+            for i in range(b.num_rows):
+                raw = data[i].as_buffer()
+                view = memoryview(raw)
+                for x in b.column(3)[i].as_py():
+                    s, n, p = x["start"], x["n"], x["place"]
+                    whole = bytes(view[s : s + n - 1 + length])
+                    for part in range(x["slices"]):
+                        out.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), s, n, p, part, x["slices"], x["kind"], whole, whole[p : p + GRAM]))
+                    held += x["slices"] * len(whole)
+                    if held >= PIECE:
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                        out, held = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+        K.trim()
 
     return run
 
@@ -251,6 +262,21 @@ def multikey_sort(data: np.ndarray, starts: np.ndarray, depth: int) -> tuple[np.
     return order, same
 
 
+def _windows(c: K.Chunk, num: dict[str, np.ndarray], r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of the runs r those of their slice: run, step in it, and hash."""
+    k = num["n"][r]
+    slot = np.repeat(np.arange(len(r)), k)
+    step = np.arange(len(slot)) - np.repeat(np.cumsum(k) - k, k)
+    keep = (num["place"][r][slot] - step) % num["slices"][r][slot] == num["part"][r][slot]
+    slot, step = slot[keep], step[keep]
+    # their own bytes, so that hashing holds no more than it needs
+    sizes = c.off[r + 1] - c.off[r]
+    base = np.cumsum(sizes) - sizes
+    piece = K.Chunk(np.concatenate([c.data[c.off[i] : c.off[i + 1]] for i in r]), np.append(base, sizes.sum()), 0)
+    at = base[slot] + step
+    return r[slot], step, piece.hash_ranges(at, at + length)
+
+
 def _resolve(length: int, window_limit: int = 200_000):
     """Of a bucket's suffixes: the windows of open runs that some other run of the group also has, as intervals."""
 
@@ -275,26 +301,17 @@ def _resolve(length: int, window_limit: int = 200_000):
             base = total[lo - 1] if lo else 0
             hi = ends[max(np.searchsorted(ends, lo, "right"), np.searchsorted(total[ends - 1], base + window_limit, "right") - 1)]
             r = order[lo:hi]
-            k = num["n"][r]
-            # the slice's own bytes, so that hashing holds no more than it needs
-            sizes_r = c.off[r + 1] - c.off[r]
-            base_r = np.cumsum(sizes_r) - sizes_r
-            own_bytes = np.repeat(c.off[r] - base_r, sizes_r) + np.arange(int(sizes_r.sum()))
-            piece = K.Chunk(c.data[own_bytes], np.append(base_r, sizes_r.sum()), 0)
-            slot = np.repeat(np.arange(len(r)), k)
-            own = r[slot]
-            step = np.arange(len(own)) - np.repeat(np.cumsum(k) - k, k)
-            keep = (num["place"][own] - step) % num["slices"][own] == num["part"][own]
-            own, step, slot = own[keep], step[keep], slot[keep]
-            at = base_r[slot] + step
-            h = piece.hash_ranges(at, at + length)
+            # a hot group has its runs' bytes in each of its slices, but only the slice's share of their windows: those are picked and hashed a piece of the runs at a time
+            stops = np.unique(np.append(np.searchsorted(np.cumsum(c.off[r + 1] - c.off[r]), np.arange(PIECE, int((c.off[r + 1] - c.off[r]).sum()) + PIECE, PIECE), "right"), len(r)))
+            found = [_windows(c, num, r[i:j], length) for i, j in zip(np.append(0, stops[:-1]), stops, strict=True) if i < j]
+            own, step, h = (np.concatenate(x) for x in zip(*found, strict=True))
             # equal windows have their anchor at the same place: (group, place) is implied by the bytes.
             # Hashes only spare the sort windows that have no equal; neighbours in the sorted order decide
             o = np.argsort(h)
-            eq = np.concatenate([[False], h[o][1:] == h[o][:-1]])
+            eq = np.concatenate([[False], h[o][1:] == h[o][:-1]])[: len(o)]
             eq[:-1] |= eq[1:]
             o = o[eq]
-            sorted_, same_window = multikey_sort(piece.data, at[o], length)
+            sorted_, same_window = multikey_sort(c.data, c.off[own[o]] + step[o], length)
             same_window[:-1] |= same_window[1:]
             rep = np.zeros(len(h), bool)
             rep[o[sorted_[same_window]]] = True
@@ -371,19 +388,24 @@ def remove_repeats(docs: DataFrame, *, length: int = 200, keep_text: bool = Fals
     """
     if not GRAM < length < 2**31:
         raise ValueError(f"length must be over {GRAM}")
-    parts = shuffle_parts(docs.sparkSession)
+    # a worker holds a bucket of tokens or a range of suffixes whole: there are as many as the texts' size asks for, whatever the session sets
+    few = shuffle_parts(docs.sparkSession)
+    parts = max(few, -(-(docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0) // PART_BYTES))
+    by_text = (lambda df: df.repartition(parts, "doc_id", "content")) if parts > few else (lambda df: df)
     named = _settled(length)
-    found = _tokens(docs, length, parts).groupBy("bucket").applyInArrow(named, _OPEN)
+    found = _tokens(docs, length, parts)
+    found = (found.repartition(parts, "bucket") if parts > few else found).groupBy("bucket").applyInArrow(named, _OPEN)
     null = F.when(F.col("doc_id") == -(2**63), None).otherwise(F.col("doc_id"))
-    open_ = found.where("kind > 0").groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "n", "place", "slices", "kind")).alias("open"))
+    open_ = by_text(found.where("kind > 0")).groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "n", "place", "slices", "kind")).alias("open"))
     carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct(F.lit(0).alias("_"))
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("content"), F.col("text").cast("string").alias("text"), *([carried.alias("carried")] if keep_text else []))
+    base = by_text(base)
     texts = base.select("doc_id", "content", F.col("text").cast("binary").alias("text"))
-    suffixes = texts.join(open_, ["doc_id", "content"]).select("doc_id", "content", "text", "open").mapInArrow(per_batch(_suffixes(length)), _SUFFIX)
+    suffixes = texts.join(open_, ["doc_id", "content"]).select("doc_id", "content", "text", "open").mapInArrow(_suffixes(length), _SUFFIX)
     dealt = suffixes.repartitionByRange(parts, "lead", "part")
     fine = dealt.mapInArrow(_resolve(length), "doc_id long, content long, start long, end long")
     spans = found.where("kind = 0").select("doc_id", "content", "start", (F.col("start") + F.col("n") - 1 + length).alias("end")).union(fine)
-    spans = spans.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = by_text(spans).groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     shaped = (base.withColumn("text", F.col("text").cast("binary")) if keep_text else texts).join(spans, ["doc_id", "content"], "left").select(null.alias("doc_id"), "text", "spans", *(["carried"] if keep_text else []))
     # fields, not text: a carried column may have any name
     schema = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "n_bytes", "n_removed", "n_spans")]).add("kept_sha256", "string")

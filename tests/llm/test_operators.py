@@ -1,14 +1,17 @@
 """Each operator against a brute-force form or its library, on awkward rows and on none."""
 
+import collections
 import hashlib
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from roadweave.llm import fingerprints, kernels, mixing, neardup, ngram_lm, quality_rules, sentencepieces, site_quality, suffix_dedup, token_files, toxicity
 from roadweave.llm.common import keyed, per_batch
@@ -359,6 +362,50 @@ def test_suffix_dedup(docs, none, hot, monkeypatch):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def _crowd(n, slices):
+    """Suffixes of n differing runs that share an anchor, in the first of its slices; every third's bytes from place 40 on are the same."""
+    g = np.random.default_rng(7)
+    raw = g.integers(97, 123, (n, 278), dtype=np.uint8)
+    raw[:, 100:148] = 99
+    raw[::3, 40:100] = raw[::3, 148:] = 100
+    raw = [x.tobytes() for x in raw]
+    num = lambda x, t: pa.array(np.full(n, x), t)
+    cols = [pa.array(np.arange(n)), num(1, pa.int64()), num(0, pa.int64()), num(79, pa.int64()), num(100, pa.int64()), num(0, pa.int32()), num(slices, pa.int32()), num(1, pa.int8()), pa.array(raw, pa.binary()), pa.array([x[100:148] for x in raw], pa.binary())]
+    return pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in suffix_dedup._SUFFIX.split(", ")]), raw
+
+
+def test_a_hot_anchor_is_hashed_in_pieces():
+    """Its slices each have all of its runs: a worker holds their bytes, not many times that."""
+    batch, raw = _crowd(24_000, 6)
+    list(suffix_dedup._resolve(200)(iter([_crowd(100, 6)[0]])))
+    tracemalloc.start()
+    list(suffix_dedup._resolve(200)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(raw) * len(raw[0])
+
+
+def test_pieces_of_a_hot_anchor_find_all(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PIECE", 3000)
+    batch, raw = _crowd(60, 2)
+    got = pa.Table.from_batches(suffix_dedup._resolve(200)(iter([batch])))
+    seen = collections.Counter(x[s : s + 200] for x in raw for s in range(0, 79, 2))
+    want = {(i, s) for i, x in enumerate(raw) for s in range(0, 79, 2) if seen[x[s : s + 200]] > 1}
+    assert {(x["doc_id"], s) for x in got.to_pylist() for s in range(x["start"], x["end"] - 199)} == want and len(want) == 20 * 20
+
+
+def test_larger_texts_are_dealt_to_more_tasks(spark, docs, monkeypatch):
+    """However few partitions the session sets, a bucket's texts are bounded."""
+    few = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs, length=200).where("doc_id is not null").collect())
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 20_000)
+    asked = []
+    monkeypatch.setattr(suffix_dedup, "_tokens", lambda d, n, parts, f=suffix_dedup._tokens: asked.append(parts) or f(d, n, parts))
+    got = suffix_dedup.remove_repeats(docs, length=200)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert asked == [-(-size // 20_000)] and asked[0] > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(tuple(r) for r in got.where("doc_id is not null").collect()) == few
+
+
 def test_multikey_sort():
     g = random.Random(6)
     raw = bytes(g.choice(b"ab") for _ in range(600))
