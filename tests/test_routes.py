@@ -108,6 +108,27 @@ def test_both_searches_give_the_same_trees_and_paths(grid, spark):
     assert one == two and set(one) == {"a", "c"} and one["c"] == (0.0, [1]) and one["a"][0] == 56.0
 
 
+@pytest.mark.parametrize("most", [500_000, 20, 1])
+def test_islands_give_the_same_trees_and_paths(grid, spark, monkeypatch, most):
+    """Islands are found and searched apart, those too large for a task (of more than `most` edges) by joins; a search never sees another island."""
+    monkeypatch.setattr(S, "ISLAND_EDGES", most)
+    monkeypatch.setattr(S, "CHUNK_EDGES", 7)
+    monkeypatch.setattr(S, "ISLAND_SEARCHES", 2)
+    v = lambda i: (i, False)
+    far = [(v(-1000 + i), v(-1000 + (i + 1) % 9), 0, 2.0, NEXT) for i in range(9)] + [(v(5000), v(5001), 0, 1.0, NEXT)]
+    e = grid.edges.unionByName(spark.createDataFrame(far, grid.edges.schema))
+    low = {x.v >> 1: x.island >> 1 for x in S.islands(e.selectExpr("src.id * 2 AS a", "dst.id * 2 AS b")).collect()}
+    assert {i: low[i] for i in (0, 205, -1000, -992, 5000, 5001)} == {0: 0, 205: 0, -1000: -1000, -992: -1000, 5000: 5000, 5001: 5000} and len(low) == 29
+    starts = spark.createDataFrame([(1, v(0)), (2, v(1)), (3, v(203)), (4, v(-995)), (5, v(777)), (6, v(100)), (7, v(5001))], f"query long, v {S.V}")
+    key = lambda rows: sorted((x.query, x.v.id, round(x.cost, 6), x.hops, x.changes, x.pred and x.pred.id, x.leaf) for x in rows)
+    assert key(S.parted_trees(e, starts).collect()) == key(S.heap_trees(e, starts).collect())
+    assert key(S.parted_trees(e, starts, max_cost=15.0, max_hops=3).collect()) == key(S.heap_trees(e, starts, max_cost=15.0, max_hops=3).collect())
+    ask = spark.createDataFrame([("a", v(0), v(205)), ("b", v(205), v(0)), ("c", v(1), v(1)), ("d", v(-992), v(-993)), ("e", v(0), v(-1000)), ("f", v(777), v(777)), ("g", v(2), v(104)), ("h", v(2), v(777))], f"query string, v {S.V}, target {S.V}")
+    way = lambda df: {x.query: (x.cost, [v.id for v in x.path]) for x in df.collect()}
+    got = way(S.parted_paths(e, ask))
+    assert got == way(S.heap_paths(e, ask)) and set(got) == {"a", "c", "d", "f", "g"} and len(got["d"][1]) == 9
+
+
 def test_legs_of_different_requests_keep_apart(grid, spark):
     """Request 1 by many stops and request 2 by few: no leg of one is taken for one of the other."""
     v = lambda i: (i, False)
@@ -117,6 +138,15 @@ def test_legs_of_different_requests_keep_apart(grid, spark):
     assert got == {1: (1002 * 3.0, 1003), 2: (10.0, 2)}
 
 
+def test_large_graphs_search_by_islands(grid, spark, monkeypatch):
+    """No rounds of joins over the whole graph where what hangs together fits a task."""
+    monkeypatch.setattr(S, "BROADCAST_EDGES", 3)
+    monkeypatch.setattr(S, "relax", None)
+    ask = spark.createDataFrame([(1, (0, False), (205, False))], f"query long, v {S.V}, target {S.V}")
+    assert [x.cost for x in S.shortest_paths(grid.edges, ask).collect()] == [56.0]
+    assert S.reachable(grid.edges, ask.select("query", "v"), 20.0).count() == 7
+
+
 def test_chains_and_loops(spark):
     members = [(i,) for i in range(40)]
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 33), (33, 30)]
