@@ -1,6 +1,7 @@
 """Shape kernels and the operators that change maps."""
 
 import math
+import random
 
 import numpy as np
 import pytest
@@ -17,6 +18,7 @@ from roadweave.model import SCHEMAS, RoadMap
 from roadweave.operators import areas as AR
 from roadweave.operators import editing as E
 from roadweave.operators import regelems as RE
+from roadweave.operators import spatial as SP
 from roadweave.operators import usages as U
 from roadweave.operators import validation as V
 
@@ -164,3 +166,27 @@ def test_own_checks_and_the_command_line(spark, tmp_path, capsys):
 def test_schemas_are_kept(small):
     for n, df in small.layers().items():
         assert len(df.columns) == len(SCHEMAS[n].split(", ")) or "struct" in SCHEMAS[n] or "map" in SCHEMAS[n]
+
+
+def test_segments_that_are_far_apart_are_not_tried(monkeypatch):
+    """Work along two lines grows with their length, not with its square; what comes out is that of all pairs."""
+    g = random.Random(3)
+    for n in (2, 3, 9, 30):
+        for dims in (2, 3):
+            a, b = ([tuple(x * 10.0 + g.choice([0, g.random()]) if k == 0 else g.choice([0.0, 1.0, g.uniform(-3, 3)]) for k in range(dims)) for x in range(n)] for _ in range(2))
+            fast = S.closest_pair(a, b), S.crossings([p[:2] for p in a], [p[:2] for p in b]), S.lines_meet([p[:2] for p in a], [p[:2] for p in b])
+            with monkeypatch.context() as m:
+                m.setattr(S, "_gap", lambda *_: 0.0)
+                slow = S.closest_pair(a, b), S.crossings([p[:2] for p in a], [p[:2] for p in b]), bool(fast[1])
+            assert fast == slow
+    tried = []
+    monkeypatch.setattr(S, "_line_pair", lambda *x, f=S._line_pair: tried.append(1) or f(*x))
+    monkeypatch.setattr(S, "crossing", lambda *x, f=S.crossing: tried.append(1) or f(*x))
+    a, b = ([(10.0 * i, y) for i in range(100)] for y in (0.0, 2.0))
+    assert S.closest_pair(a, b)[0] == (0.0, 0.0) and S.crossings(a, b) == [] and not S.lines_meet(a, b)
+    assert len(tried) < 1000
+
+
+def test_long_kernels_are_spread(spark):
+    got = SP.spread(spark.range(100).coalesce(1))
+    assert got.rdd.getNumPartitions() >= 3 * spark.sparkContext.defaultParallelism and got.count() == 100
