@@ -12,6 +12,7 @@ from roadweave.functions import boxes as B
 from roadweave.functions import polylines as P
 from roadweave.functions import projections as J
 from roadweave.functions import shapes as S
+from roadweave.functions.flat import line_distance
 from roadweave.operators import graph as G
 from roadweave.operators import matching as M
 from roadweave.operators import rules as R
@@ -293,3 +294,19 @@ def test_new_ids(spark):
     df = spark.createDataFrame([(5, "a"), (None, "c"), (None, "b")], "id bigint, name string")
     got = {r.name: r.id for r in model.next_ids(df, 1000, ["name"]).collect()}
     assert got == {"a": 5, "b": 1001, "c": 1002}
+
+
+def test_the_smaller_side_of_a_range_join_is_listed_in_more_cells(spark, monkeypatch):
+    """Either side's boxes may be grown: the pairs are the same; nearest shapes grow those of the fewer rows."""
+    o = spark.range(60).selectExpr("id AS object_id", "(id * 37 % 101) / 8D AS x", "(id * 53 % 97) / 8D AS y").selectExpr("*", "struct(x AS xmin, y AS ymin, x AS xmax, y AS ymax) AS abox")
+    s = spark.range(9).selectExpr("id", "array(struct(id * 1.5D AS x, 2D AS y, 0D AS z), struct(id * 1.5D + 1 AS x, 7D AS y, 0D AS z)) AS pts").selectExpr("*", "struct(pts[0].x AS xmin, 2D AS ymin, pts[1].x AS xmax, 7D AS ymax) AS bbox")
+    near = lambda grown: sorted((x.object_id, x.id, x.distance) for x in SP.within(o, s, 2.5, line_distance("pts", "x", "y"), 2.0, grown=grown).collect())
+    assert near("a") == near("b") and len(near("a")) > 50
+    sides = []
+    monkeypatch.setattr(SP, "box_pairs", lambda *a, f=SP.box_pairs, **k: sides.append(k.get("grown")) or f(*a, **k))
+    got = {(x.object_id, x["rank"]): x.distance for x in SP.knn(o, s, 2, line_distance("pts", "x", "y"), key="object_id", other="id", cell=2.0).collect()}
+    assert sides[0] == "b" and len(got) == 120
+    all_ = {}
+    for q, d in sorted((x.object_id, x.distance) for x in SP.within(o, s, 99.0, line_distance("pts", "x", "y"), 99.0).collect()):
+        all_.setdefault(q, []).append(d)
+    assert got == {(q, i + 1): d[i] for q, d in all_.items() for i in range(2)}
