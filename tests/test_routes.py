@@ -147,6 +147,17 @@ def test_large_graphs_search_by_islands(grid, spark, monkeypatch):
     assert S.reachable(grid.edges, ask.select("query", "v"), 20.0).count() == 7
 
 
+def test_a_worker_reads_many_routes_one_after_another(spark):
+    """Routes whose rows come to one task keep apart, and each is answered by itself."""
+    v = lambda i: (i, i % 2 == 1)
+    nodes = [(q, v(i), i < 3, i == 0, i == 2, False) for q in range(50) for i in range(3 + q % 2)]
+    edges = [(q, v(i), v(i + 1), NEXT) for q in range(50) for i in range(2 + q % 2)]
+    n = spark.createDataFrame(nodes, f"query long, v {S.V}, on_route boolean, first boolean, last boolean, final boolean")
+    e = spark.createDataFrame(edges, f"query long, src {S.V}, dst {S.V}, relation int")
+    got = RT._by_query(n, e, RT.Local.lanes, ", lane int, pos int, loop boolean").collect()
+    assert sorted((x["query"], x.v.id, x.v.inv, x.lane, x.pos, x.loop) for x in got) == [(q, *v(i), 0, i, False) for q in range(50) for i in range(3 + q % 2)]
+
+
 def test_chains_and_loops(spark):
     members = [(i,) for i in range(40)]
     links = [(i, i + 1) for i in range(20)] + [(30, 31), (31, 32), (32, 33), (33, 30)]
